@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, near_dedup, packing, pii, sharding, token_files, toxicity
+from . import decontaminate, exact_dedup, language_id, near_dedup, packing, pii, sharding, token_files, toxicity
 from .common import shared_path
 from .tokenization import tokenizer_path
 
@@ -43,6 +43,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
+    "op9_decontamination": op9_decontamination,
     "op10_token_files": op10_token_files,
 }
 
