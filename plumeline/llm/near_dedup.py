@@ -1,19 +1,23 @@
 """Near duplicates by b-bit MinHash.
 
 1. Each document becomes its set of distinct word shingles (64-bit hashes), and of that set a 128-bit
-   fingerprint, 128 minima, the hashes of 32 bands of four minima, and the two low bits of each mixed
+   fingerprint, 128 minima, the hashes of 24 bands of four minima, and the two low bits of each mixed
    minimum, packed as bit planes in four longs.
 2. Documents with the same set form one class; what follows runs on classes, so copies cost nothing.
 3. Classes that share a band meet in a bucket. Each member is compared with the bucket's leader only.
    Bits that agree give a similarity, corrected for chance agreement; pairs far below the threshold
-   stop there. The others are confirmed on the full sets, recomputed from the whole texts.
-4. Confirmed links give components. Within a bucket, members that did not join their leader's component
-   are then compared with the members of other components, so no link between components is lost, while
-   pairs inside a component are never listed.
+   stop there. The others are confirmed on the full sets, recomputed from the whole texts. Confirmed
+   links give components.
+4. Buckets that still hold several components get a second leader, the member with the fewest shingles
+   that no other such class has. Then each member outside the leader's component meets the members of
+   other components, once for each pair, so no link between components is lost, while pairs inside a
+   component are never listed. Shingles that a class has to itself bound what it can share with any
+   other (an exact bound), which spares nearly all pairs of large groups whose members lie just below
+   the threshold.
 5. New links join components; each document gets the least doc_id of its component.
 
-A pair at the threshold of 0.8 shares no band with a probability below 1e-7; the estimate's cut-off lies
-more than six standard deviations below the threshold. Links, components and fingerprints stay in Spark.
+A pair at the threshold of 0.8 shares no band with a probability of 3e-6; the estimate's cut-off lies
+six standard deviations below the threshold. Links, components and fingerprints stay in Spark.
 
 Defined results: null and empty texts, and texts of white space, have no shingles and link with nothing;
 a text with fewer words than a shingle has one; rows that repeat a doc_id are one document; a null doc_id
@@ -34,7 +38,8 @@ from pyspark.sql import functions as F
 from .common import chunks, cut, mix64, text_or_empty, to_buffer, words
 from .components import components
 
-HASHES, BANDS, BITS = 128, 32, 2
+#: Minima, bands of ROWS minima each, and bits kept of each minimum.
+HASHES, BANDS, ROWS, BITS = 128, 24, 4, 2
 #: Standard deviations of the estimate that a pair may fall below the threshold and still be confirmed.
 MARGIN = 6.0
 
@@ -83,7 +88,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 def signatures(low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band hashes (rows x BANDS) and bit planes (rows x 4 longs) of a matrix of minima."""
-    pairs = np.ascontiguousarray(low).view(np.uint64).reshape(len(low), BANDS, -1)
+    pairs = np.ascontiguousarray(low[:, : BANDS * ROWS]).view(np.uint64).reshape(len(low), BANDS, -1)
     bands = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(low), BANDS)).copy()
     for j in range(pairs.shape[2]):
         bands = mix64(bands * _STEP + pairs[:, :, j])
@@ -161,6 +166,51 @@ def _confirmer(width: int, percent: int) -> Callable:
     return run
 
 
+def _own_shingles(width: int) -> Callable:
+    schema = pa.schema([("cid", pa.int64()), ("shingle", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cid = batch.column(0).to_numpy()
+            raw, offsets = to_buffer(batch.column(1))
+            for a, b in chunks(offsets):
+                sets = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+                owner = np.repeat(cid[a:b], [len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], schema=schema)
+
+    return run
+
+
+def _alone(texts: DataFrame, width: int) -> DataFrame:
+    """cid and alone: how many of its shingles no other class among texts has (classes with none are left out)."""
+    held = texts.mapInArrow(_own_shingles(width), "cid long, shingle long")
+    single = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("cid").alias("cid")).where("holders = 1")
+    return single.groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
+
+
+def _can_share(x: str, y: str, percent: int) -> Column:
+    """Whether the shingles that either class has to itself leave room for a link."""
+    most = F.least(F.col(f"{x}.n") - F.col(f"{x}.alone"), F.col(f"{y}.n") - F.col(f"{y}.alone"))
+    return most * 100 >= (F.col(f"{x}.n") + F.col(f"{y}.n") - most) * percent
+
+
+def _extended(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (cid, component), of classes that aren't the least of theirs, with further links between classes."""
+    to = lambda c: label.select(F.col("cid").alias(c), F.col("component").alias(f"{c}_in"))
+    between = links.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("u_in", "u").alias("u"), F.coalesce("v_in", "v").alias("v")).distinct()
+    joined = components(between)
+    over = joined.select(F.col("node").alias("component"), F.col("component").alias("above"))
+    label = label.join(over, "component", "left").select("cid", F.coalesce("above", "component").alias("component"))
+    return cut(label.unionByName(joined.select(F.col("node").alias("cid"), "component")))
+
+
+def _relabelled(placed: DataFrame, label: DataFrame) -> DataFrame:
+    """placed (bucket, cid) with own, the component, for buckets that hold more than one."""
+    now = placed.join(label, "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("own"))
+    mixed = now.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("bucket")
+    return now.join(mixed, "bucket")
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
     """cid and the whole text of each wanted class."""
     held = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.xxhash64(text_or_empty()).alias("rep_key"), text_or_empty().alias("text"))
@@ -192,30 +242,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     pairs = crowd.where("cid <> leader").select(F.col("cid").alias("u"), F.col("leader").alias("v")).distinct()
     pairs = pairs.join(known.alias("x"), F.col("u") == F.col("x.cid")).join(known.alias("y"), F.col("v") == F.col("y.cid")).where(_may_link("x", "y", percent)).select("u", "v")
     pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
-    texts = cut(_texts_of(docs, ends, classes))
-    linked = components(_confirmed(pairs, texts, width, percent))
-
-    # members outside their leader's component, against all of the other components in the bucket
-    label = linked.select(F.col("node").alias("cid"), "component")
-    placed = crowd.where("size > 2").join(label, "cid", "left").join(label.select(F.col("cid").alias("leader"), F.col("component").alias("leads")), "leader", "left")
-    placed = placed.select("bucket", "cid", F.coalesce("component", "cid").alias("own"), "leader", F.coalesce("leads", "leader").alias("leads")).join(known, "cid")
-    x = placed.where("own <> leads").alias("x")
-    y = placed.where("cid <> leader").alias("y")
-    apart = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.own") != F.col("y.own")) & _may_link("x", "y", percent))
-    more = cut(apart.select(F.greatest("x.cid", "y.cid").alias("u"), F.least("x.cid", "y.cid").alias("v")).distinct())
-    if not more.isEmpty():
-        lacking = more.select(F.explode(F.array("u", "v")).alias("cid")).distinct().join(texts, "cid", "left_anti")
-        lacking = cut(lacking)
-        if not lacking.isEmpty():
-            texts = texts.unionByName(_texts_of(docs, lacking, classes))
-        new = _confirmed(more, texts, width, percent)
-        to = lambda c: label.select(F.col("cid").alias(c), F.col("component").alias(f"{c}_in"))
-        new = new.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("u_in", "u").alias("u"), F.coalesce("v_in", "v").alias("v")).distinct()
-        joined = components(new)
-        over = joined.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        label = label.join(over, "component", "left").select("cid", F.coalesce("above", "component").alias("component"))
-        label = cut(label.unionByName(joined.join(linked.select("node"), "node", "left_anti").select(F.col("node").alias("cid"), "component")))
+    crowded = crowd.where("size > 2").select("bucket", "cid")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("cid")).unionByName(crowded.select("cid")).distinct()
+    texts = cut(_texts_of(docs, wanted, classes))
+    label = components(_confirmed(pairs, texts, width, percent)).select(F.col("node").alias("cid"), "component")
+
+    mixed = cut(_relabelled(crowded, label))
+    if not mixed.isEmpty():
+        alone = _alone(texts.join(mixed.select("cid").distinct(), "cid"), width)
+        facts = cut(classes.select("cid", *marks, "bands").join(mixed.select("cid").distinct(), "cid").join(alone, "cid", "left").fillna(0, ["alone"]))
+        marked = mixed.join(facts, "cid")
+        second = marked.groupBy("bucket").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "cid", "own")).alias("b")).select("bucket", F.col("b.cid").alias("leader"), F.col("b.own").alias("leads"))
+        pairs = mixed.join(second, "bucket").where("own <> leads").select(F.col("cid").alias("u"), F.col("leader").alias("v")).distinct()
+        pairs = pairs.join(facts.alias("x"), F.col("u") == F.col("x.cid")).join(facts.alias("y"), F.col("v") == F.col("y.cid")).where(_can_share("x", "y", percent) & _may_link("x", "y", percent)).select("u", "v")
+        label = _extended(label, _confirmed(pairs, texts, width, percent))
+
+        # members outside their leader's component, against all of the other components in the bucket
+        rest = _relabelled(mixed.select("bucket", "cid"), label).join(second.select("bucket", "leader"), "bucket")
+        rest = rest.join(label.select(F.col("cid").alias("leader"), F.col("component").alias("leads")), "leader", "left").withColumn("leads", F.coalesce("leads", "leader"))
+        # those that can't link with anything of their own size or less are left out of the search already
+        rest = cut(rest.join(facts, "cid").where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent))
+        x, y = rest.where("own <> leads").alias("x"), rest.where("cid <> leader").alias("y")
+        once = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.bucket")
+        apart = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.own") != F.col("y.own")) & _can_share("x", "y", percent) & _may_link("x", "y", percent) & once)
+        more = cut(apart.select(F.greatest("x.cid", "y.cid").alias("u"), F.least("x.cid", "y.cid").alias("v")).distinct())
+        if not more.isEmpty():
+            label = _extended(label, _confirmed(more, texts, width, percent))
     placed = classes.select("cid", "fp_hi", "fp_lo", "rep_id").join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = placed.groupBy("component").agg(F.min("rep_id").alias("component_id"))
     named = cut(placed.join(least, "component").select("fp_hi", "fp_lo", "component_id"))
