@@ -120,3 +120,28 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     last[inner - 1] = solid[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return starts, ends, span_hashes(low, starts, ends), np.searchsorted(starts, offsets)
+
+
+#: Bits of the membership filter, in rows of 32,768 bits: 512 rows of 4 KB, whatever the number of keys.
+FILTER_BITS = 1 << 24
+_ROW_BITS = 32_768
+
+
+def membership(keys: DataFrame, key: str) -> DataFrame:
+    """A one-hash filter of the keys (longs), of fixed size: filter_row and filter_bits."""
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    return keys.select(at.alias("at")).groupBy((F.col("at") / _ROW_BITS).cast("int").alias("filter_row")).agg(F.bitmap_construct_agg(F.col("at") % _ROW_BITS).alias("filter_bits"))
+
+
+def with_membership(df: DataFrame, key: str, filter_: DataFrame) -> DataFrame:
+    """df with maybe_in: false only where the key is certainly not among the filter's keys.
+
+    It lets a join move only the rows that may match; the filter's size is fixed, so it is broadcast.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    marked = df.withColumn("filter_at", at).withColumn("filter_row", (F.col("filter_at") / _ROW_BITS).cast("int"))
+    within = (F.col("filter_at") % _ROW_BITS).cast("int")
+    byte = F.conv(F.hex(F.substring("filter_bits", (within / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.when(F.col("filter_bits").isNull(), 0).otherwise(F.call_function("bit_get", byte, within % 8))
+    joined = marked.join(F.broadcast(filter_), "filter_row", "left")
+    return joined.withColumn("maybe_in", bit == 1).drop("filter_row", "filter_at", "filter_bits")

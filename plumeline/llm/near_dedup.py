@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, mix64, text_or_empty, to_buffer, words
+from .common import chunks, cut, membership, mix64, text_or_empty, to_buffer, with_membership, words
 from .components import components
 
 #: Minima, bands of ROWS minima each, and bits kept of each minimum.
@@ -214,7 +214,9 @@ def _relabelled(placed: DataFrame, label: DataFrame) -> DataFrame:
 def _texts_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
     """cid and the whole text of each wanted class."""
     held = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.xxhash64(text_or_empty()).alias("rep_key"), text_or_empty().alias("text"))
-    who = wanted.join(classes.select("cid", "rep_id", "rep_key"), "cid")
+    who = cut(wanted.join(classes.select("cid", "rep_id", "rep_key"), "cid"))
+    # few texts are wanted: the others stay where they are
+    held = with_membership(held, "rep_key", membership(who, "rep_key")).where("maybe_in").drop("maybe_in")
     same = held["rep_id"].eqNullSafe(who["rep_id"]) & (held["rep_key"] == who["rep_key"])
     return held.join(who, same).select("cid", "text")
 
@@ -278,5 +280,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that represent their component, with all their columns; rows without an id stay."""
-    drop = near_duplicates(docs, width, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["dropped_id"], "left_anti")
+    drop = cut(near_duplicates(docs, width, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("dropped_id")).distinct())
+    names = [f"`{c}`" for c in docs.columns]
+    marked = with_membership(docs.select("*", F.col("doc_id").cast("long").alias("_asked")), "_asked", membership(drop, "dropped_id"))
+    # rows that are certainly kept need no join, so their texts don't move
+    sure, unsure = marked.where("not maybe_in"), marked.where("maybe_in")
+    return sure.select(*names).unionAll(unsure.join(drop, F.col("_asked") == F.col("dropped_id"), "left_anti").select(*names))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, language_id, near_dedup, packing, pii, sharding, token_files, toxicity
+from . import decontaminate, exact_dedup, language_id, near_dedup, packing, pii, sharding, token_files, token_rollup, toxicity
 from .common import shared_path
 from .tokenization import tokenizer_path
 
@@ -31,6 +31,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rollup = token_rollup.TokenRollup(spark, shared_path(spark, "token-rollup"))
+    counted = token_rollup.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "byte_bpe_50k")
+    rollup.commit("load", token_rollup.inserts(counted))
+    return rollup.totals()
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_packing": op4_packing,
+    "op5_token_rollup": op5_token_rollup,
     "op6_toxicity": op6_toxicity,
     "op7_sharding": op7_sharding,
     "op8_pii": op8_pii,
