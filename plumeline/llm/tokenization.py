@@ -12,11 +12,12 @@ from __future__ import annotations
 import os
 import unicodedata
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
 #: Pieces that a worker keeps; beyond this it starts anew.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 800_000
 #: Code points in one numpy pass.
 PASS_POINTS = 2_000_000
 
@@ -50,9 +51,26 @@ def _kinds() -> np.ndarray:
     return np.array([_kind(chr(c)) for c in range(0x3000)] + [_OPAQUE], dtype=np.uint8)
 
 
-def _piece_starts(points: np.ndarray) -> np.ndarray:
-    """Where a cut is safe: True at the first code point of each piece."""
-    kind = _kinds()[np.minimum(points, 0x3000)]
+@cache
+def _lower() -> np.ndarray:
+    """Lower case of the code points below U+3000 that are not opaque; others stay."""
+    kinds = _kinds()
+    return np.array([ord(chr(c).lower()) if kinds[c] != _OPAQUE else c for c in range(0x3000)], dtype=np.uint32)
+
+
+@cache
+def _byte_letters() -> dict[int, str]:
+    """The characters that byte-level vocabularies write for the bytes: printable ones for themselves, the rest from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def _piece_starts(points: np.ndarray, kind: np.ndarray, spaced: bool) -> np.ndarray:
+    """Where a cut is safe: True at the first code point of each piece.
+
+    spaced: white space is part of tokens; otherwise the tokenizer drops it, and a cut after it is safe too.
+    """
     left, right = kind[:-1], kind[1:]
     known = (left != _OPAQUE) & (right != _OPAQUE)
     # before white space; where letters, digits and marks meet, but never just after an apostrophe
@@ -66,6 +84,8 @@ def _piece_starts(points: np.ndarray) -> np.ndarray:
     lone[1:] &= kind[:-2] != _OPAQUE
     lone[:1] = False
     start[1:] |= lone
+    if not spaced:
+        start[1:] |= known & (left == _SPACE) & (right != _SPACE)
     return start
 
 
@@ -78,23 +98,24 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        ids = lambda t: self._tokenizer.encode(t, add_special_tokens=False).ids
+        # what the tokenizer itself does with white space and case
+        self._spaced, self._folds = ids(" a") != ids("a"), ids("AB") == ids("ab")
         self._forget()
 
     def _forget(self) -> None:
-        self._memo: dict[str, int] = {}
-        self._ids = np.zeros(1 << 16, dtype=np.uint32)
-        self._ends = np.zeros(1, dtype=np.int64)
-
-    def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        used, ends = int(self._ends[-1]), self._ends[-1] + np.cumsum(sizes)
-        while len(self._ids) < ends[-1]:
-            self._ids = np.concatenate([self._ids, np.zeros_like(self._ids)])
-        self._ids[used : int(ends[-1])] = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=int(sizes.sum()))
-        base = len(self._ends) - 1
-        self._ends = np.concatenate([self._ends, ends])
-        self._memo.update(zip(pieces, range(base, base + len(pieces)), strict=True))
+        # pieces by their hash, in order; the ids and the code points of each piece, one after another
+        self._hashes, self._entries = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self._ids, self._points = _Pool(), _Pool()
+
+    def _learn(self, pieces: list[str], words: list[bool]) -> None:
+        """words: whether a piece is letters only, with one space before them at most, and so a single pre-token."""
+        other = [p for p, w in zip(pieces, words, strict=True) if not w]
+        rest = iter(self._tokenizer.encode_batch_fast(other, add_special_tokens=False)) if other else iter(())
+        model, letters = self._tokenizer.model, _byte_letters()
+        found = [[t.id for t in model.tokenize(p if p.isascii() and p.isalpha() else p.encode().decode("latin-1").translate(letters))] if w else next(rest).ids for p, w in zip(pieces, words, strict=True)]
+        self._ids.add(np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, count=len(found)))
+        self._points.add(np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32), np.fromiter(map(len, pieces), np.int64, count=len(pieces)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, counts, start = [], [], 0
@@ -116,39 +137,71 @@ class Encoder:
         if not joined:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         points = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
-        mark = _piece_starts(points)
+        small = np.minimum(points, 0x3000)
+        kind = _kinds()[small]
+        if self._folds:
+            points = np.where(points < 0x3000, _lower()[np.minimum(small, 0x2FFF)], points)
+            joined = points.tobytes().decode("utf-32-le")
         begins = np.concatenate([[0], np.cumsum(lengths)])
+        mark = _piece_starts(points, kind, self._spaced)
         mark[begins[:-1][begins[:-1] < len(points)]] = True
         starts = np.flatnonzero(mark)
         ends = np.append(starts[1:], len(points))
-        _, first, which = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
-        if not _same(points, starts, ends, starts[first][which], ends[first][which]):
-            # two pieces of this pass share a hash: tell them apart by their text
-            seen: dict[str, int] = {}
-            which = np.array([seen.setdefault(joined[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-            pieces = list(seen)
-        else:
-            pieces = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self._memo) > MEMO_PIECES:
+        found, first, which = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
+        if not _same(points, starts, ends, points, starts[first][which], ends[first][which]):
+            return self._plainly(texts)  # two pieces share a hash
+        if len(self._hashes) > MEMO_PIECES:
             self._forget()
-        new = [p for p in pieces if p not in self._memo]
-        if new:
-            self._learn(new)
-        memo = self._memo
-        entry = np.fromiter((memo[p] for p in pieces), dtype=np.int64, count=len(pieces))[which]
-        begin, sizes = self._ends[entry], self._ends[entry + 1] - self._ends[entry]
+        at = np.searchsorted(self._hashes, found)
+        known = np.zeros(len(found), bool)
+        known[at < len(self._hashes)] = self._hashes[at[at < len(self._hashes)]] == found[at < len(self._hashes)]
+        entry = np.empty(len(found), np.int64)
+        entry[known] = self._entries[at[known]]
+        old, at_known = entry[known], first[known]
+        if not _same(points, starts[at_known], ends[at_known], self._points.values, self._points.ends[old], self._points.ends[old + 1]):
+            return self._plainly(texts)
+        new = np.flatnonzero(~known)
+        if len(new):
+            begin, end = starts[first[new]], ends[first[new]]
+            spaced = (points[begin] == 32) & (end - begin > 1)
+            letters = np.concatenate([[0], np.cumsum(kind == _LETTER)])
+            word = letters[end] - letters[begin] == end - begin - spaced
+            entry[new] = len(self._ids.ends) - 1 + np.arange(len(new))
+            self._learn([joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], word.tolist())
+            self._hashes, self._entries = np.insert(self._hashes, at[new], found[new]), np.insert(self._entries, at[new], entry[new])
+        entry = entry[which]
+        begin, sizes = self._ids.ends[entry], self._ids.ends[entry + 1] - self._ids.ends[entry]
         total = np.concatenate([[0], np.cumsum(sizes)])
         at = np.repeat(begin - total[:-1], sizes) + np.arange(total[-1])
-        upto = total[np.searchsorted(starts, begins)]
-        return self._ids[at], np.diff(upto)
+        return self._ids.values[at], np.diff(total[np.searchsorted(starts, begins)])
+
+    def _plainly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, count=len(found))
+
+
+class _Pool:
+    """Numbers of many entries one after another; entry k is values[ends[k]:ends[k + 1]]."""
+
+    def __init__(self) -> None:
+        self.values, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        used = int(self.ends[-1])
+        self.ends = np.concatenate([self.ends, used + np.cumsum(sizes)])
+        while len(self.values) < used + len(values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        self.values[used : used + len(values)] = values
 
 
-def _same(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, other_ends: np.ndarray) -> bool:
-    """Whether each piece has the very code points of the piece that stands for its hash."""
+def _same(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other: np.ndarray, other_ends: np.ndarray) -> bool:
+    """Whether each piece of points has the very code points of its counterpart in others."""
     sizes = ends - starts
     if not np.array_equal(sizes, other_ends - other):
         return False
-    return bool(np.array_equal(points, points[np.repeat(other - starts, sizes) + np.arange(len(points))]))
+    before = np.cumsum(sizes) - sizes
+    steps = np.arange(int(sizes.sum()))
+    return bool(np.array_equal(points[np.repeat(starts - before, sizes) + steps], others[np.repeat(other - before, sizes) + steps]))
 
 
 @cache

@@ -11,7 +11,8 @@ learnt first: they are added one at a time while they recur in enough toxic docu
 one marks, and in few clean ones. A calibrated logistic curve over the expected number and share of
 toxic tokens (from the marginals) gives the document's score.
 
-Training reads a bounded sample: at most SAMPLE labelled documents of each class, chosen by a hash.
+Training reads a bounded sample: at most SAMPLE labelled documents of each class, chosen by a hash, and
+of those the ones of at most MOST_CHARS characters. Scoring reads every text whole.
 
 Defined results: null and empty texts have no tokens and get the score of zero toxic tokens; without
 labels of both classes every score is the toxic share of what labels there are (0 without any); a
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import chunks, mix64, span_hashes, text_or_empty, to_buffer
 from .language_id import held_out
 
-SAMPLE = 1500
+#: Labelled documents of each class that training reads at most, and characters of each at most (longer ones are not learnt from).
+SAMPLE, MOST_CHARS = 1000, 50_000
 #: Bits of the weight table's index.
 TABLE_BITS = 18
 #: A learnt mark must mark this share of toxic documents that no earlier one marks, at least so many, and this much more often than clean ones.
@@ -75,7 +77,7 @@ def features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed: np.n
     """Places in the weight table: one column each for the word, its first bytes, both neighbours and the last bytes."""
     n = len(starts)
     if not n:
-        return np.zeros((0, 4 + len(HEADS)), np.int64)
+        return np.zeros((0, 4 + len(HEADS)), np.int32)
     before, after = np.roll(hashed, 1), np.roll(hashed, -1)
     begins = first[:-1][first[:-1] < first[1:]]
     ends_at = first[1:][first[:-1] < first[1:]] - 1
@@ -84,7 +86,7 @@ def features(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashed: np.n
     low = _FOLD[raw].astype(np.uint64)
     tail = low[ends - 1] | (low[np.maximum(ends - 2, starts)] << np.uint64(8)) | (low[np.maximum(ends - 3, starts)] << np.uint64(16))
     columns = (*_stems(raw, starts, ends, hashed), before, after, tail)
-    return np.stack([mix64(x ^ np.uint64((k + 1) << 56)) >> np.uint64(64 - TABLE_BITS) for k, x in enumerate(columns)], axis=1).astype(np.int64)
+    return np.stack([mix64(x ^ np.uint64((k + 1) << 56)) >> np.uint64(64 - TABLE_BITS) for k, x in enumerate(columns)], axis=1).astype(np.int32)
 
 
 def marginals(evidence: np.ndarray, change: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -215,6 +217,21 @@ def learn_marks(stems: list[np.ndarray], owner: np.ndarray, toxic: np.ndarray) -
         open_[doc[mark == best]] = False
 
 
+def _places_of(raw: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Features of the wanted tokens only, a part of the texts at a time."""
+    out, before = None, 0
+    for a, b in chunks(offsets, 1_000_000):
+        part, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        starts, ends, hashed, first = tokens(part, at)
+        inside = np.flatnonzero((wanted >= before) & (wanted < before + len(starts)))
+        if len(inside):
+            places = features(part, starts, ends, hashed, first)
+            out = np.zeros((len(wanted), places.shape[1]), np.int32) if out is None else out
+            out[inside] = places[wanted[inside] - before]
+        before += len(starts)
+    return out
+
+
 def train(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 60, rate: float = 0.5, seed: int = 11) -> ToxicField:
     """Fit the field on token labels from learnt words, then the curve on document labels of share prior."""
     table = pa.array(texts, pa.large_string())
@@ -228,7 +245,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 60, r
         label |= np.isin(each, marks)
     # a mark counts in toxic documents where marks recur
     label &= toxic[owner] & (np.bincount(owner, label, minlength=len(texts)) >= 2)[owner]
-    places = features(raw, starts, ends, hashed, first)
+    del stems
     # stretches of tokens: all around labelled tokens, and as many again from anywhere
     rng = np.random.default_rng(seed)
     length, hits = 24, np.flatnonzero(label)
@@ -240,7 +257,7 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 60, r
     squares, bias_square, log_square = np.full_like(weights, 1e-6), 1e-6, np.full((2, 2), 1e-6)
     if len(begin):
         at = (begin[:, None] + np.arange(length)).ravel()
-        seen, wanted = places[at], label[at].astype(float)
+        seen, wanted = _places_of(raw, offsets, at), label[at].astype(float)
         edges = np.arange(0, len(at) + 1, length)
         inner = np.ones(len(at), bool)
         inner[edges[:-1]] = False
@@ -265,8 +282,11 @@ def train(texts: list[str], toxic: np.ndarray, prior: float, rounds: int = 60, r
             log_square += log_push**2
             logs = logs + 0.1 * log_push / np.sqrt(log_square)
             field.bias, field.change = float(bias), np.exp(logs - logs.max())
-    p, _, _, first = field.toxic(raw, offsets)
-    inputs = curve_inputs(expected_counts(p, first), np.diff(first))
+    inputs = []
+    for a, b in chunks(offsets):
+        p, _, _, own = field.toxic(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        inputs.append(curve_inputs(expected_counts(p, own), np.diff(own)))
+    inputs = np.concatenate(inputs)
     weight = np.where(toxic, prior / max(1, toxic.sum()), (1 - prior) / max(1, (~toxic).sum()))
     weight = weight / weight.sum() * len(texts)
     curve = np.zeros(inputs.shape[1])
@@ -291,7 +311,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicField
     picked = [known.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
     # 2 * sample rows of two numbers at most
     chosen = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id").select("doc_id", "text", "toxic").limit(4 * sample).collect()
+    rows = docs.select("doc_id", text_or_empty().alias("text")).where(F.length("text") <= MOST_CHARS).join(chosen, "doc_id").select("doc_id", "text", "toxic").limit(4 * sample).collect()
     rows.sort(key=lambda r: (r.doc_id, r.text))
     toxic = np.array([r.toxic == 1 for r in rows], bool)
     prior = counts.get(1, 0) / total
