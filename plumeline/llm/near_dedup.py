@@ -8,12 +8,14 @@
    Bits that agree give a similarity, corrected for chance agreement; pairs far below the threshold
    stop there. The others are confirmed on the full sets, recomputed from the whole texts. Confirmed
    links give components.
-4. Buckets that still hold several components get a second leader, the member with the fewest shingles
-   that no other such class has. Then each member outside the leader's component meets the members of
-   other components, once for each pair, so no link between components is lost, while pairs inside a
-   component are never listed. Shingles that a class has to itself bound what it can share with any
-   other (an exact bound), which spares nearly all pairs of large groups whose members lie just below
-   the threshold.
+4. Buckets that still hold several components get a second leader, their centre: the member with the
+   fewest shingles that no other such class has. Each member is compared with it in full, which gives
+   what they share and what the member has beyond it. Two members x and y can share at most the lesser
+   of what each shares with the centre, and what both have beyond it; the latter is counted exactly, by
+   a join on those few shingles. So members outside their leader's component meet the members of other
+   components only where that bound leaves room for a link: no link between components is lost, pairs
+   inside a component are never listed, and large groups whose members lie just below the threshold
+   cost as much as they have rare shingles in common.
 5. New links join components; each document gets the least doc_id of its component.
 
 A pair at the threshold of 0.8 shares no band with a probability of 3e-6; the estimate's cut-off lies
@@ -188,9 +190,38 @@ def _alone(texts: DataFrame, width: int) -> DataFrame:
     return single.groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
 
 
-def _can_share(x: str, y: str, percent: int) -> Column:
-    """Whether the shingles that either class has to itself leave room for a link."""
-    most = F.least(F.col(f"{x}.n") - F.col(f"{x}.alone"), F.col(f"{y}.n") - F.col(f"{y}.alone"))
+def _beyond(width: int) -> Callable:
+    schema = pa.schema([("cid", pa.int64()), ("centre", pa.int64()), ("shared", pa.int64()), ("beyond", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, np.ndarray | None] = (None, None)
+        for batch in batches:
+            u, v = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            raw, offsets = to_buffer(batch.column(2))
+            raw_v, offsets_v = to_buffer(batch.column(3))
+            for a, b in chunks(offsets):
+                shared, beyond = [], []
+                for i, own in zip(range(a, b), shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width), strict=True):
+                    if last[0] != v[i]:
+                        text = raw_v[offsets_v[i] : offsets_v[i + 1]]
+                        last = (v[i], shingle_sets(text, np.array([0, len(text)]), width)[0])
+                    at = np.searchsorted(last[1], own)
+                    at[at == len(last[1])] = 0
+                    both = last[1][at] == own
+                    shared.append(int(both.sum()))
+                    beyond.append(own[~both].view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(u[a:b]), pa.array(v[a:b]), pa.array(shared, pa.int64()), pa.array(beyond, schema.field("beyond").type)], schema=schema)
+
+    return run
+
+
+def _against_centre(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """For pairs (u, v): u as cid, v as centre, how many shingles they share, and those that u has beyond v."""
+    return _with_texts(pairs, texts).mapInArrow(_beyond(width), "cid long, centre long, shared long, beyond array<long>")
+
+
+def _leaves_room(most: Column, x: str, y: str, percent: int) -> Column:
+    """Whether sets that share at most this many shingles can be linked."""
     return most * 100 >= (F.col(f"{x}.n") + F.col(f"{y}.n") - most) * percent
 
 
@@ -221,10 +252,13 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFra
     return held.join(who, same).select("cid", "text")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     one, two = texts.select(F.col("cid").alias("u"), F.col("text").alias("text_u")), texts.select(F.col("cid").alias("v"), F.col("text").alias("text_v"))
-    both = pairs.join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v")
-    return both.mapInArrow(_confirmer(width, percent), "u long, v long")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "text_u", "text_v")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    return _with_texts(pairs, texts).mapInArrow(_confirmer(width, percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -252,22 +286,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     mixed = cut(_relabelled(crowded, label))
     if not mixed.isEmpty():
         alone = _alone(texts.join(mixed.select("cid").distinct(), "cid"), width)
-        facts = cut(classes.select("cid", *marks, "bands").join(mixed.select("cid").distinct(), "cid").join(alone, "cid", "left").fillna(0, ["alone"]))
+        facts = cut(classes.select("cid", *marks).join(mixed.select("cid").distinct(), "cid").join(alone, "cid", "left").fillna(0, ["alone"]))
         marked = mixed.join(facts, "cid")
         second = marked.groupBy("bucket").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "cid", "own")).alias("b")).select("bucket", F.col("b.cid").alias("leader"), F.col("b.own").alias("leads"))
-        pairs = mixed.join(second, "bucket").where("own <> leads").select(F.col("cid").alias("u"), F.col("leader").alias("v")).distinct()
-        pairs = pairs.join(facts.alias("x"), F.col("u") == F.col("x.cid")).join(facts.alias("y"), F.col("v") == F.col("y.cid")).where(_can_share("x", "y", percent) & _may_link("x", "y", percent)).select("u", "v")
-        label = _extended(label, _confirmed(pairs, texts, width, percent))
-
-        # members outside their leader's component, against all of the other components in the bucket
-        rest = _relabelled(mixed.select("bucket", "cid"), label).join(second.select("bucket", "leader"), "bucket")
-        rest = rest.join(label.select(F.col("cid").alias("leader"), F.col("component").alias("leads")), "leader", "left").withColumn("leads", F.coalesce("leads", "leader"))
-        # those that can't link with anything of their own size or less are left out of the search already
-        rest = cut(rest.join(facts, "cid").where((F.col("n") - F.col("alone")) * 100 >= F.col("n") * percent))
-        x, y = rest.where("own <> leads").alias("x"), rest.where("cid <> leader").alias("y")
-        once = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.bucket")
-        apart = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.own") != F.col("y.own")) & _can_share("x", "y", percent) & _may_link("x", "y", percent) & once)
-        more = cut(apart.select(F.greatest("x.cid", "y.cid").alias("u"), F.least("x.cid", "y.cid").alias("v")).distinct())
+        pairs = mixed.join(second, "bucket").where("cid <> leader").select(F.col("cid").alias("u"), F.col("leader").alias("v")).distinct()
+        centred = cut(_against_centre(pairs, texts, width))
+        n_of = facts.select(F.col("cid").alias("k"), F.col("n").alias("m"))
+        sizes = centred.join(n_of, F.col("cid") == F.col("k")).withColumnRenamed("m", "n").drop("k").join(n_of, F.col("centre") == F.col("k"))
+        label = _extended(label, sizes.where(F.col("shared") * 100 >= (F.col("n") + F.col("m") - F.col("shared")) * percent).select(F.col("cid").alias("u"), F.col("centre").alias("v")))
+
+        # members outside their centre's component, against all of the other components around it
+        own = label.select(F.col("cid").alias("k"), "component")
+        around = centred.join(own, F.col("cid") == F.col("k"), "left").select("cid", "centre", "shared", "beyond", F.coalesce("component", "cid").alias("own"))
+        around = around.join(own, F.col("centre") == F.col("k"), "left").withColumn("leads", F.coalesce("component", "centre")).drop("component", "k").join(facts.drop("alone"), "cid")
+        around = cut(around)
+        apart = (F.col("x.own") != F.col("y.own")) & _may_link("x", "y", percent)
+        fewer = F.least("x.shared", "y.shared")
+        # with nothing in common beyond the centre
+        near = around.where("own <> leads").drop("beyond").alias("x").join(around.drop("beyond").alias("y"), (F.col("x.centre") == F.col("y.centre")) & apart & _leaves_room(fewer, "x", "y", percent))
+        # with something
+        each = around.withColumn("extra", F.explode("beyond")).select("cid", "centre", "own", "leads", "extra")
+        common = each.where("own <> leads").alias("x").join(each.alias("y"), (F.col("x.centre") == F.col("y.centre")) & (F.col("x.extra") == F.col("y.extra")) & (F.col("x.own") != F.col("y.own")))
+        common = common.groupBy(F.col("x.centre").alias("centre"), F.col("x.cid").alias("u"), F.col("y.cid").alias("v")).agg(F.count(F.lit(1)).alias("k"))
+        known_by = around.drop("beyond")
+        rich = common.alias("c").join(known_by.alias("x"), (F.col("c.centre") == F.col("x.centre")) & (F.col("c.u") == F.col("x.cid"))).join(known_by.alias("y"), (F.col("c.centre") == F.col("y.centre")) & (F.col("c.v") == F.col("y.cid")))
+        rich = rich.where(_leaves_room(fewer + F.col("c.k"), "x", "y", percent) & apart)
+        more = near.select("x.cid", "y.cid").toDF("u", "v").unionByName(rich.select("c.u", "c.v"))
+        more = cut(more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         if not more.isEmpty():
             label = _extended(label, _confirmed(more, texts, width, percent))
     placed = classes.select("cid", "fp_hi", "fp_lo", "rep_id").join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
