@@ -546,9 +546,9 @@ def distance_band(spark, d):
     return spatial.distance_band(_map(spark, d), "key", "x", "y", 50_000.0).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("dst").alias("dst_sum"))
 
 
-@query("spatial_lag", _with([MAP], "SELECT key, round(z, 4) AS z, round(lag, 4) AS lag, n_neighbours FROM la"))
+@query("spatial_lag", _with([MAP], "SELECT key, round(z, 4) + 0.0 AS z, round(lag, 4) + 0.0 AS lag, n_neighbours FROM la"))
 def spatial_lag(spark, d):
-    return _lagged(spark, d).select("key", _r("z"), _r("lag"), "n_neighbours")
+    return _lagged(spark, d).select("key", (F.round("z", 4) + 0.0).alias("z"), (F.round("lag", 4) + 0.0).alias("lag"), "n_neighbours")
 
 
 @query("global_moran", _with([MAP], "SELECT round(count(*) / sum(CASE WHEN n_neighbours > 0 THEN 1.0 ELSE 0 END) * sum(z * lag) / sum(z * z), 9) AS moran_i, round(-1.0 / (count(*) - 1), 12) AS expected_i, count(*) AS n, CAST(sum(CASE WHEN n_neighbours = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_islands FROM la"))
@@ -556,9 +556,9 @@ def global_moran(spark, d):
     return spatial.global_moran(_lagged(spark, d)).select(_r("moran_i", 9), _r("expected_i", 12), "n", "n_islands")
 
 
-@query("local_moran", _with([MAP], "SELECT key, round((count(*) OVER () - 1) * z * lag / sum(z * z) OVER (), 8) AS local_i, CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS quadrant FROM la"))
+@query("local_moran", _with([MAP], "SELECT key, round((count(*) OVER () - 1) * z * lag / sum(z * z) OVER (), 8) + 0.0 AS local_i, CASE WHEN z > 0 AND lag > 0 THEN 1 WHEN z <= 0 AND lag > 0 THEN 2 WHEN z <= 0 THEN 3 ELSE 4 END AS quadrant FROM la"))
 def local_moran(spark, d):
-    return spatial.local_moran(_lagged(spark, d), "key").select("key", _r("local_i", 8), "quadrant")
+    return spatial.local_moran(_lagged(spark, d), "key").select("key", (F.round("local_i", 8) + 0.0).alias("local_i"), "quadrant")
 
 
 @query("lisa_clusters")

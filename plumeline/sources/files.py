@@ -110,7 +110,7 @@ def newest_per_key(stored: DataFrame, added: DataFrame, key: str) -> DataFrame:
 
 def exact_lines(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
     """source_file, line_no, line and line_status for each wanted (source_file, line_no), lines counted from 1."""
-    texts = spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_name").alias("source_file"), "value")
+    texts = spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), "value")
     files = texts.select("source_file").distinct()
     lines = texts.join(wanted.select("source_file").distinct(), "source_file", "left_semi").select("source_file", F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
     lines = lines.select("source_file", (F.col("at") + 1).alias("line_no"), "line")
@@ -156,4 +156,4 @@ def footer_statistics(spark: SparkSession, paths: list[str], columns: list[str])
 
 
 def load_json(spark: SparkSession, path: str) -> dict:
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
