@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, scalar
-from ..operators import exposure, models, quality, spatial, times
+from ..operators import exposure, models, quality, spatial, tables, times
 from ..sources import views
 from ..sources.files import newest_per_key
 
@@ -631,3 +631,61 @@ def previous_gap(spark, d):
     e = views.table(spark, d, "events")
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     return e.select("event_id", (micros - F.lag(micros).over(Window.partitionBy("user_id").orderBy("ts"))).alias("gap_us"))
+
+
+# ---- tables ---------------------------------------------------------------------------------------
+
+
+@query("file_summary", _with(OBS, "SELECT source_file, count(*) AS n_rows, CAST(sum(cnt) AS BIGINT) AS total, string_agg(DISTINCT CAST(region AS VARCHAR), ',' ORDER BY CAST(region AS VARCHAR)) AS region_values, round(count(*) / sum(count(*)) OVER (), 8) AS row_share, round(sum(cnt) / sum(sum(cnt)) OVER (), 8) AS total_share FROM obs GROUP BY source_file"))
+def file_summary(spark, d):
+    return tables.file_summary(views.observations(spark, d), "source_file", "cnt", ["region"]).withColumns({"row_share": F.round("row_share", 8), "total_share": F.round("total_share", 8)})
+
+
+@query("utc_dates_used", _with(OBS, "SELECT local_date, local_hour, string_agg(DISTINCT utc_date, ',' ORDER BY utc_date) AS utc_dates, count(DISTINCT utc_date) AS n_utc_dates FROM rep GROUP BY local_date, local_hour"))
+def utc_dates_used(spark, d):
+    return tables.utc_dates_used(views.repaired(spark, d), ["local_date", "local_hour"])
+
+
+@query("official_population", "SELECT n_name, 1000000 * (CAST(n_nationkey AS BIGINT) + 1) AS official_population FROM nation")
+def official_population(spark, d):
+    n = views.official_totals(spark, d)
+    text = n.select(F.col("region_name").alias("n_name"), F.format_number("official_population", 0).alias("t"))
+    total = n.agg(F.lit("Total").alias("n_name"), F.format_number(F.sum("official_population"), 0).alias("t"))
+    return tables.official_population(text.unionByName(total), "n_name", "t", n.select(F.col("region_name").alias("n_name")))
+
+
+@query("status_labels", "SELECT o_orderstatus, CASE ascii(o_orderstatus) WHEN 70 THEN 'finished' WHEN 79 THEN 'open' ELSE 'other' END AS label, count(*) AS n FROM orders GROUP BY 1, 2")
+def status_labels(spark, d):
+    o = views.table(spark, d, "orders")
+    return o.groupBy("o_orderstatus", tables.code_labels(F.ascii("o_orderstatus"), {70: "finished", 79: "open"}, "other").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("first_per_key", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS n FROM orders) x WHERE n = 1")
+def first_per_key(spark, d):
+    o = views.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return tables.first_per_key(o, ["o_custkey"], [F.desc_nulls_last("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey")
+
+
+@query("merged_covariates", _with(OBS, ", src AS (SELECT round(lon_raw / 100.0, 4) AS lon, round(lat_raw / 100.0, 4) AS lat, avg(cnt) AS road FROM obs WHERE region < 20 GROUP BY 1, 2), b AS (SELECT DISTINCT round(lon_raw / 100.0, 4) AS lon, round(lat_raw / 100.0, 4) AS lat FROM obs) SELECT b.lon, b.lat, round(s.road, 6) AS road FROM b LEFT JOIN src s ON b.lon = s.lon AND b.lat = s.lat"))
+def merged_covariates(spark, d):
+    o = views.observations(spark, d).select((F.col("lon_raw") / 100).alias("lon"), (F.col("lat_raw") / 100).alias("lat"), F.col("cnt").alias("road"), "region")
+    source = tables.covariate_source(o.where("region < 20"), ["lon", "lat"], ["road"])
+    base = o.select(F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat")).distinct()
+    return tables.merge_source(base, source, ["lon", "lat"], ["road"]).withColumn("road", F.round("road", 6))
+
+
+@query("cleaned_inputs", "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance, c_acctbal AS balance_change, CASE WHEN c_acctbal - 100 > 0 THEN c_acctbal - 100 END AS x_mean_pm25 FROM customer")
+def cleaned_inputs(spark, d):
+    c = views.table(spark, d, "customer")
+    return tables.cleaned_inputs(c.select("c_custkey", F.col("c_acctbal").alias("balance"), F.col("c_acctbal").alias("balance_change"), (F.col("c_acctbal") - 100).alias("x_mean_pm25")))
+
+
+@query("supported_grid", "SELECT c_custkey, o.n, o.n IS NOT NULL AS is_supported FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) o ON c_custkey = o_custkey")
+def supported_grid(spark, d):
+    o = views.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"))
+    return tables.supported(views.table(spark, d, "customer").select("c_custkey"), o, "c_custkey")
+
+
+@query("shared_keys", "SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
+def shared_keys(spark, d):
+    return views.table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(views.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
