@@ -118,6 +118,16 @@ class Encoder:
         self._points.add(np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32), np.fromiter(map(len, pieces), np.int64, count=len(pieces)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if any(len(t) > 2 * PASS_POINTS for t in texts):
+            # very long texts go in parts that end where a cut is safe
+            parts = [self._parts(t) for t in texts]
+            ids, counts = self._encode_all([p for own in parts for p in own])
+            ends = np.cumsum([len(own) for own in parts])
+            total = np.concatenate([[0], np.cumsum(counts)])
+            return ids, np.diff(total[np.concatenate([[0], ends])])
+        return self._encode_all(texts)
+
+    def _encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids, counts, start = [], [], 0
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         ends = np.cumsum(lengths)
@@ -130,6 +140,20 @@ class Encoder:
             start = end
         return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
+    def _parts(self, text: str) -> list[str]:
+        out, at, reach = [], 0, PASS_POINTS
+        while len(text) - at > reach:
+            begin = at + reach - min(4096, reach // 2)
+            window = np.frombuffer(text[begin : at + reach].encode("utf-32-le"), dtype=np.uint32)
+            safe = np.flatnonzero(_piece_starts(window, _kinds()[np.minimum(window, 0x3000)], self._spaced))
+            safe = safe[safe > 2]  # the first places lack what stands before them
+            if len(safe):
+                out.append(text[at : begin + int(safe[-1])])
+                at, reach = begin + int(safe[-1]), PASS_POINTS
+            else:
+                reach += PASS_POINTS
+        return [*out, text[at:]]
+
     def _encode(self, texts: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         from .common import span_hashes
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from plumeline.llm import packing, token_files, token_rollup
+from plumeline.llm import packing, token_files, token_rollup, tokenization
 from plumeline.llm.tokenization import Encoder, tokenizer_path
 
 SCHEMA = "doc_id long, text string, source string, lang string, ids string"
@@ -31,6 +31,16 @@ def test_pieces_give_the_ids_of_whole_texts(name):
         assert ids.tolist() == [i for x in expected for i in x]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_very_long_texts_go_in_parts(name, monkeypatch):
+    monkeypatch.setattr(tokenization, "PASS_POINTS", 200)
+    rng = random.Random(2)
+    texts = ["".join(rng.choices([*"ab'1. \n\té中", " the", "'s"], k=3000)), "x" * 5000, "", "short one", "é中" * 900]
+    ids, counts = Encoder(tokenizer_path(name)).encode(texts)
+    expected = plain(name)(texts)
+    assert counts.tolist() == [len(x) for x in expected] and ids.tolist() == [i for x in expected for i in x]
+
+
 def test_best_fit_finds_the_tightest_window():
     lengths = np.array([5, 7, 3, 4, 1, 10])
     where, offset, n = packing.best_fit(lengths, 10)
