@@ -111,6 +111,31 @@ def largest_overlap(points: DataFrame, lon: str, lat: str, polygons: dict[int, l
     return keyed.join(tested, ["_lon", "_lat"], "left").drop("_lon", "_lat")
 
 
+def nearest_region(points: DataFrame, x: str, y: str, polygons: dict[int, list[Ring]], most: float) -> DataFrame:
+    """nearest_region and its distance (planar units) for points within `most` of a region's boundary or inside it; ties to the lowest code."""
+    schema = pa.schema([("_x", pa.float64()), ("_y", pa.float64()), ("nearest_region", pa.int32()), ("distance", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            px, py = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            best, code_of = np.full(len(px), np.inf), np.full(len(px), -1)
+            for code in sorted(polygons):
+                near = np.full(len(px), np.inf)
+                for ring in polygons[code]:
+                    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+                        length = (bx - ax) ** 2 + (by - ay) ** 2
+                        t = np.clip(((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / length, 0, 1) if length else 0.0
+                        near = np.minimum(near, np.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay)))
+                near[touches(px, py, polygons[code])[0]] = 0.0
+                code_of, best = np.where(near < best, code, code_of), np.minimum(near, best)
+            void = ~(best <= most)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(code_of, pa.int32(), mask=void), pa.array(best, mask=void)], schema=schema)
+
+    keyed = points.withColumn("_x", F.col(x).cast("double")).withColumn("_y", F.col(y).cast("double"))
+    tested = keyed.select("_x", "_y").where("_x is not null and _y is not null").distinct().mapInArrow(run, "_x double, _y double, nearest_region int, distance double")
+    return keyed.join(tested, ["_x", "_y"], "left").drop("_x", "_y")
+
+
 def distance_band(points: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
     """src and dst of all ordered pairs of points within the radius, a point and itself left out.
 
@@ -188,14 +213,14 @@ def lisa_clusters(local: DataFrame, level: float = 0.05):
     return local.withColumn("cluster", F.when(F.col("p_sim") < level, label).otherwise("Not significant"))
 
 
-def permutation_test(spark, lagged: DataFrame, edges: DataFrame, key: str, permutations: int = 999, seed: int = 42, most: int = 200_000) -> DataFrame:
+def permutation_test(spark, lagged: DataFrame, edges: DataFrame, key: str, permutations: int = 999, seed: int = 42, most: int = 200_000, most_edges: int = 5_000_000) -> DataFrame:
     """Global I's z_sim and p_sim: each task permutes the values over the graph with seeds of its own.
 
-    The graph and the values go to tasks whole, so the number of points is checked against a bound first.
+    The graph and the values go to tasks whole, so the numbers of points and edges are checked against bounds first.
     """
-    n = lagged.count()
-    if n > most:
-        raise ValueError(f"{n} points are more than {most}")
+    n, n_edges = lagged.count(), edges.count()
+    if n > most or n_edges > most_edges:
+        raise ValueError(f"{n} points and {n_edges} edges are more than {most} and {most_edges}")
     rows = lagged.select(key, "z").orderBy(key).collect()
     at = {r[key]: i for i, r in enumerate(rows)}
     z = np.array([r.z for r in rows], float)

@@ -147,3 +147,10 @@ def order_inversions(rows: DataFrame, file: str, position: str, column: str) ->
     """How many rows of each file come before the row that precedes them."""
     back = F.col(column) < F.lag(column).over(Window.partitionBy(file).orderBy(position))
     return rows.withColumn("_back", F.coalesce(back, F.lit(False)).cast("int")).groupBy(file).agg(F.sum("_back").alias("inversions"))
+
+
+def local_hour_coverage(utc_hours: DataFrame, hours: int = 8) -> DataFrame:
+    """From distinct (utc_date, utc_hour) that have data: each local date's hours present and the list of those that lack."""
+    at = F.unix_timestamp(F.concat_ws(" ", "utc_date", F.lpad(F.col("utc_hour").cast("string"), 2, "0")), "yyyy-MM-dd HH")
+    local = F.timestamp_seconds(at + hours * 3600)
+    return hour_coverage(utc_hours.select(day_text(local).alias("local_date"), F.hour(local).alias("local_hour")).distinct()).drop("n_rows")

@@ -204,6 +204,13 @@ def hour_coverage(spark, d):
     return times.hour_coverage(views.repaired(spark, d))
 
 
+@query("local_hour_coverage", _with(OBS, """, lh AS (SELECT DISTINCT local_date, local_hour FROM rep), al AS (SELECT d.local_date, h FROM (SELECT DISTINCT local_date FROM lh) d, (SELECT unnest(range(0, 24)) AS h) x),
+    mi AS (SELECT a.local_date, a.h FROM al a LEFT JOIN lh ON a.local_date = lh.local_date AND a.h = lh.local_hour WHERE lh.local_hour IS NULL)
+    SELECT c.local_date, c.n_hours, coalesce(m.g, '') AS missing_hours FROM (SELECT local_date, count(*) AS n_hours FROM lh GROUP BY local_date) c LEFT JOIN (SELECT local_date, string_agg(CAST(h AS VARCHAR), ',' ORDER BY h) AS g FROM mi GROUP BY local_date) m ON c.local_date = m.local_date"""))
+def local_hour_coverage(spark, d):
+    return times.local_hour_coverage(views.repaired(spark, d).select("utc_date", "utc_hour").distinct())
+
+
 _EXPECTED = """, ex AS (SELECT TIMESTAMP '2024-01-02 00:00:00' + to_minutes(5 * i) AS t FROM (SELECT unnest(range(0, 8064)) AS i) x), ob AS (SELECT DISTINCT local_time AS t FROM rep),
     mi AS (SELECT ex.t FROM ex LEFT JOIN ob ON ex.t = ob.t WHERE ob.t IS NULL)"""
 
@@ -541,6 +548,12 @@ def region_overlap(spark, d):
     return spatial.largest_overlap(outside, "lon", "lat", POLYGONS, 1.0).select("event_id", "overlap_region", "n_overlaps")
 
 
+@query("nearest_region", _with([OBS, "p AS (SELECT event_id, lon_raw / 100.0 AS x, lat_raw / 100.0 AS y FROM obs)"], "SELECT event_id, CASE WHEN x < 100.5 AND x > 79.5 AND y BETWEEN 20 AND 30 THEN CASE WHEN x <= 100 THEN 0 ELSE 1 END END AS nearest_region FROM p WHERE y BETWEEN 21 AND 29 AND x < 100.5"))
+def nearest_region(spark, d):
+    o = views.observations(spark, d).select("event_id", (F.col("lon_raw") / 100).alias("x"), (F.col("lat_raw") / 100).alias("y")).where("y between 21 and 29 and x < 100.5")
+    return spatial.nearest_region(o, "x", "y", {k: POLYGONS[k] for k in (0, 1)}, 0.5).select("event_id", "nearest_region")
+
+
 @query("distance_band", _with([MAP], "SELECT src, count(*) AS n, CAST(sum(dst) AS BIGINT) AS dst_sum FROM ed GROUP BY src"))
 def distance_band(spark, d):
     return spatial.distance_band(_map(spark, d), "key", "x", "y", 50_000.0).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("dst").alias("dst_sum"))
@@ -567,6 +580,13 @@ def lisa_clusters(spark, d):
     return quality.counts_by_category(spatial.lisa_clusters(local), "cluster", ["HH", "LL", "HL", "LH", "Not significant", "NoData"])
 
 
+@query("moran_permutations")
+def moran_permutations(spark, d):
+    m = _map(spark, d)
+    edges = spatial.distance_band(m, "key", "x", "y", 50_000.0)
+    return spatial.permutation_test(spark, spatial.spatial_lag(m, edges, "key", "c_acctbal"), edges, "key")
+
+
 @query("category_counts", "SELECT s.s AS o_orderstatus, count(o.o_orderkey) AS n, round(count(o.o_orderkey) / sum(count(o.o_orderkey)) OVER (), 8) AS share FROM (SELECT unnest(['F', 'O', 'P', 'X']) AS s) s LEFT JOIN orders o ON o.o_orderstatus = s.s GROUP BY s.s")
 def category_counts(spark, d):
     return quality.counts_by_category(views.table(spark, d, "orders").select("o_orderstatus"), "o_orderstatus", ["F", "O", "P", "X"]).withColumn("share", F.round("share", 8))

@@ -87,3 +87,11 @@ def test_polygons(spark):
     assert got == {(0.5, 0.5): (5, "interior"), (2.0, 2.0): (None, "outside"), (4.0, 2.0): (5, "multiple"), (6.0, 2.0): (7, "interior"), (9.0, 9.0): (None, "outside"), (1.0, 2.0): (5, "boundary"), (None, 1.0): (None, "outside")}
     (o,) = spatial.largest_overlap(spark.createDataFrame([(3.9, 5.0)], "x double, y double"), "x", "y", polygons, 3.0).collect()
     assert (o.overlap_region, o.n_overlaps) == (5, 2)
+
+
+def test_nearest_region(spark):
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    polygons = {2: [[(x + 6, y) for x, y in square]], 1: [square]}
+    pts = spark.createDataFrame([(5.0, 2.0), (4.6, 2.0), (5.5, 2.0), (20.0, 2.0), (7.0, 1.0), (4.3, 4.4)], "x double, y double")
+    got = {(r.x, r.y): (r.nearest_region, r.distance if r.distance is None else round(r.distance, 6)) for r in spatial.nearest_region(pts, "x", "y", polygons, 1.0).collect()}
+    assert got == {(5.0, 2.0): (1, 1.0), (4.6, 2.0): (1, 0.6), (5.5, 2.0): (2, 0.5), (20.0, 2.0): (None, None), (7.0, 1.0): (2, 0.0), (4.3, 4.4): (1, 0.5)}
