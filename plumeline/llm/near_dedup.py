@@ -8,8 +8,9 @@
    Bits that agree give a similarity, corrected for chance agreement; pairs far below the threshold
    stop there. The others are confirmed on the full sets, recomputed from the whole texts. Confirmed
    links give components.
-4. Buckets that still hold several components get a second leader, their centre: the member with the
-   fewest shingles that no other such class has. Each member is compared with it in full, which gives
+4. Buckets that still hold several components get a centre: of the component of their most typical
+   member, the class with the fewest shingles that no other such class has, so that the buckets of a
+   group share one centre. Each member is compared with it in full, which gives
    what they share and what the member has beyond it. Two members x and y can share at most the lesser
    of what each shares with the centre, and what both have beyond it; the latter is counted exactly, by
    a join on those few shingles. So members outside their leader's component meet the members of other
@@ -288,8 +289,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         alone = _alone(texts.join(mixed.select("cid").distinct(), "cid"), width)
         facts = cut(classes.select("cid", *marks).join(mixed.select("cid").distinct(), "cid").join(alone, "cid", "left").fillna(0, ["alone"]))
         marked = mixed.join(facts, "cid")
-        second = marked.groupBy("bucket").agg(F.min(F.struct((F.col("alone") / F.col("n")).alias("share"), "cid", "own")).alias("b")).select("bucket", F.col("b.cid").alias("leader"), F.col("b.own").alias("leads"))
-        pairs = mixed.join(second, "bucket").where("cid <> leader").select(F.col("cid").alias("u"), F.col("leader").alias("v")).distinct()
+        share = (F.col("alone") / F.col("n")).alias("share")
+        second = marked.groupBy("bucket").agg(F.min(F.struct(share, "cid", "own")).alias("b")).select("bucket", F.col("b.own").alias("led"))
+        # buckets whose best member is of one component share that component's centre
+        centres = marked.groupBy(F.col("own").alias("led")).agg(F.min(F.struct(share, "cid")).alias("b")).select("led", F.col("b.cid").alias("centre"))
+        pairs = mixed.join(second, "bucket").join(centres, "led").where("cid <> centre").select(F.col("cid").alias("u"), F.col("centre").alias("v")).distinct()
         centred = cut(_against_centre(pairs, texts, width))
         n_of = facts.select(F.col("cid").alias("k"), F.col("n").alias("m"))
         sizes = centred.join(n_of, F.col("cid") == F.col("k")).withColumnRenamed("m", "n").drop("k").join(n_of, F.col("centre") == F.col("k"))
