@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -70,19 +72,35 @@ _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _ODD = 0x9E3779B97F4A7C15
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd 64-bit base and of its inverse modulo 2**64."""
-    size = 1 << max(10, (n + 1).bit_length())
-    if size not in _POWERS:
+    """Powers of an odd 64-bit base and of its inverse modulo 2**64, for n units at least."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        size = 1 << max(10, n.bit_length())
         up = np.full(size, _ODD, dtype=np.uint64)
         down = np.full(size, pow(_ODD, -1, 1 << 64), dtype=np.uint64)
         up[0] = down[0] = 1
-        _POWERS.clear()
-        _POWERS[size] = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-    return _POWERS[size]
+        _POWERS[:] = [(np.multiply.accumulate(up), np.multiply.accumulate(down))]
+    return _POWERS[0]
+
+
+def trimmed(run):
+    """run, a function over record batches, which at its end gives back the memory that its arrays took.
+
+    Python workers live on from task to task and from stage to stage, and what the allocator keeps counts
+    against their executor.
+    """
+
+    def whole(batches):
+        yield from run(batches)
+        if _POWERS and len(_POWERS[0][0]) > 2 * CHUNK_BYTES:
+            _POWERS.clear()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, membership, mix64, text_or_empty, to_buffer, with_membership, words
+from .common import chunks, cut, membership, mix64, text_or_empty, to_buffer, trimmed, with_membership, words
 from .components import components
 
 #: Minima, bands of ROWS minima each, and bits kept of each minimum.
@@ -122,7 +122,7 @@ def _featurer(width: int) -> Callable:
 
 def features(docs: DataFrame, width: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
-    return rows.mapInArrow(_featurer(width), _FEATURE_SCHEMA)
+    return rows.mapInArrow(trimmed(_featurer(width)), _FEATURE_SCHEMA)
 
 
 def estimated(x: str, y: str) -> Column:
@@ -186,7 +186,7 @@ def _own_shingles(width: int) -> Callable:
 
 def _alone(texts: DataFrame, width: int) -> DataFrame:
     """cid and alone: how many of its shingles no other class among texts has (classes with none are left out)."""
-    held = texts.mapInArrow(_own_shingles(width), "cid long, shingle long")
+    held = texts.mapInArrow(trimmed(_own_shingles(width)), "cid long, shingle long")
     single = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("cid").alias("cid")).where("holders = 1")
     return single.groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
 
@@ -218,7 +218,7 @@ def _beyond(width: int) -> Callable:
 
 def _against_centre(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """For pairs (u, v): u as cid, v as centre, how many shingles they share, and those that u has beyond v."""
-    return _with_texts(pairs, texts).mapInArrow(_beyond(width), "cid long, centre long, shared long, beyond array<long>")
+    return _with_texts(pairs, texts).mapInArrow(trimmed(_beyond(width)), "cid long, centre long, shared long, beyond array<long>")
 
 
 def _leaves_room(most: Column, x: str, y: str, percent: int) -> Column:
@@ -259,7 +259,7 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    return _with_texts(pairs, texts).mapInArrow(_confirmer(width, percent), "u long, v long")
+    return _with_texts(pairs, texts).mapInArrow(trimmed(_confirmer(width, percent)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -17,9 +17,9 @@ from itertools import chain
 import numpy as np
 
 #: Pieces that a worker keeps; beyond this it starts anew.
-MEMO_PIECES = 800_000
+MEMO_PIECES = 400_000
 #: Code points in one numpy pass.
-PASS_POINTS = 2_000_000
+PASS_POINTS = 1_000_000
 
 _OPAQUE, _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3, 4
 
