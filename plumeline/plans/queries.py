@@ -554,6 +554,12 @@ def nearest_region(spark, d):
     return spatial.nearest_region(o, "x", "y", {k: POLYGONS[k] for k in (0, 1)}, 0.5).select("event_id", "nearest_region")
 
 
+@query("nearest_region_all")
+def nearest_region_all(spark, d):
+    o = views.observations(spark, d).select("event_id", (F.col("lon_raw") / 100).alias("x"), (F.col("lat_raw") / 100).alias("y"))
+    return spatial.nearest_region(o, "x", "y", POLYGONS, 0.5).select("event_id", "nearest_region", "distance")
+
+
 @query("distance_band", _with([MAP], "SELECT src, count(*) AS n, CAST(sum(dst) AS BIGINT) AS dst_sum FROM ed GROUP BY src"))
 def distance_band(spark, d):
     return spatial.distance_band(_map(spark, d), "key", "x", "y", 50_000.0).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("dst").alias("dst_sum"))
