@@ -35,7 +35,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents, placed in sequences of 1024 tokens."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), special_ids=True)
 
 
 STAGES = [

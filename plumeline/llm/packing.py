@@ -85,7 +85,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
 
 
-def _packer(path: str, end_id: int, window: int, block: int, with_ids: bool) -> Callable:
+def _packer(path: str, end_id: int, window: int, block: int, with_ids: bool, special_ids: bool) -> Callable:
     schema = _ARROW.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else _ARROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def _packer(path: str, end_id: int, window: int, block: int, with_ids: bool) ->
         rest = 0
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            ids, counts = encoder(path).encode([t or "" for t in texts])
+            ids, counts = encoder(path, special_ids).encode([t or "" for t in texts])
             ends = np.cumsum(counts)
             doc_ids = batch.column(0).to_pylist()
             full: list[tuple] = []
@@ -137,10 +137,10 @@ def _rows(placed: list, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, window: int = WINDOW, block: int = BLOCK, with_ids: bool = False) -> DataFrame:
-    """One row per piece of a document, with its place; with_ids adds the piece's ids themselves."""
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, window: int = WINDOW, block: int = BLOCK, with_ids: bool = False, special_ids: bool = False) -> DataFrame:
+    """One row per piece of a document, with its place; with_ids adds the piece's ids themselves; special_ids as in Encoder."""
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return kept.mapInArrow(trimmed(_packer(tokenizer_file, end_id, window, block, with_ids)), SCHEMA + ", ids array<int>" * with_ids)
+    return kept.mapInArrow(trimmed(_packer(tokenizer_file, end_id, window, block, with_ids, special_ids)), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

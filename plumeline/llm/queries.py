@@ -28,12 +28,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), special_ids=True)
 
 
 def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup = token_rollup.TokenRollup(spark, shared_path(spark, "token-rollup"))
-    counted = token_rollup.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "byte_bpe_50k")
+    counted = token_rollup.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), "byte_bpe_50k", special_ids=True)
     rollup.commit("load", token_rollup.inserts(counted))
     return rollup.totals()
 
@@ -56,7 +56,7 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-files")
-    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), special_ids=True)
     return token_files.read(spark, path)
 
 

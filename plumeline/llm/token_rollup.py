@@ -29,22 +29,22 @@ KEYS = ["source", "lang", "tokenizer"]
 _SCHEMA = "doc_id long, source string, lang string, tokens long"
 
 
-def _counter(path: str) -> Callable:
+def _counter(path: str, special_ids: bool) -> Callable:
     schema = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("lang", pa.string()), ("tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, counts = encoder(path).encode([t or "" for t in batch.column(3).to_pylist()])
+            _, counts = encoder(path, special_ids).encode([t or "" for t in batch.column(3).to_pylist()])
             columns = [*batch.columns[:3], pa.array(counts)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer_file: str, version: str) -> DataFrame:
-    """doc_id, source, lang, tokenizer and tokens of each document."""
+def count_tokens(docs: DataFrame, tokenizer_file: str, version: str, special_ids: bool = False) -> DataFrame:
+    """doc_id, source, lang, tokenizer and tokens of each document; special_ids as in Encoder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
-    return rows.mapInArrow(trimmed(_counter(tokenizer_file)), _SCHEMA).withColumn("tokenizer", F.lit(version))
+    return rows.mapInArrow(trimmed(_counter(tokenizer_file, special_ids)), _SCHEMA).withColumn("tokenizer", F.lit(version))
 
 
 def _signed(counted: DataFrame, sign: int) -> DataFrame:

@@ -5,11 +5,15 @@ A text is cut only where the tokenizer is certain to start a new pre-token whate
 gives the ids of the whole. Pieces are found and compared in numpy over code points; only pieces that a
 worker has not met lately reach the tokenizers library. The piece memory is bounded and holds no state
 that changes a result.
+
+Literal special tokens in a text, such as <|endoftext|>, are spelt out like other text, or with special_ids
+are their single ids, as the tokenizer's own encode gives them: texts are then cut at these tokens first.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 from functools import cache
 from itertools import chain
@@ -92,7 +96,7 @@ def _piece_starts(points: np.ndarray, kind: np.ndarray, spaced: bool) -> np.ndar
 class Encoder:
     """encode(texts) gives all ids, joined, and the number of ids of each text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_ids: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -101,6 +105,14 @@ class Encoder:
         ids = lambda t: self._tokenizer.encode(t, add_special_tokens=False).ids
         # what the tokenizer itself does with white space and case
         self._spaced, self._folds = ids(" a") != ids("a"), ids("AB") == ids("ab")
+        added = self._tokenizer.get_added_tokens_decoder() if special_ids else {}
+        self._added = {t.content: i for i, t in added.items()}
+        # the tokenizer takes the longest of the tokens that start at a place
+        self._cuts = re.compile("(" + "|".join(re.escape(c) for c in sorted(self._added, key=len, reverse=True)) + ")")
+        # tokens that take in white space, match after normalising or stand as words only are left to the library
+        self._whole = any(not t.special or t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values())
+        if self._whole:
+            self._tokenizer.encode_special_tokens = False
         self._forget()
 
     def _forget(self) -> None:
@@ -118,6 +130,20 @@ class Encoder:
         self._points.add(np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32), np.fromiter(map(len, pieces), np.int64, count=len(pieces)))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self._whole:
+            return self._plainly(texts)
+        # text and added token in turn, text first and last
+        split = [self._cuts.split(t) if any(c in t for c in self._added) else [t] for t in texts]
+        ids, counts = self._between([p for own in split for p in own[::2]])
+        if len(counts) == len(texts):
+            return ids, counts
+        sizes = np.fromiter((len(own) // 2 + 1 for own in split), np.int64, count=len(split))
+        last = np.cumsum(sizes) - 1
+        added = [self._added[c] for own in split for c in own[1::2]]
+        ids = np.insert(ids, np.delete(np.cumsum(counts), last), np.array(added, ids.dtype))
+        return ids, np.add.reduceat(counts, last + 1 - sizes) + sizes - 1
+
+    def _between(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if any(len(t) > 2 * PASS_POINTS for t in texts):
             # very long texts go in parts that end where a cut is safe
             parts = [self._parts(t) for t in texts]
@@ -229,6 +255,6 @@ def _same(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.n
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_ids: bool = False) -> Encoder:
     """One encoder for each worker and file."""
-    return Encoder(path)
+    return Encoder(path, special_ids)
