@@ -33,9 +33,21 @@ _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 _DIGIT_RUN = re.compile(r"[0-9]++")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9]){11,30}+")
+# The lengths of account numbers by country (ISO 13616).
+_IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
 _SCORES = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.8}
 _WORDS = {
     "email": re.compile(r"\b(?:e-?mail|mail|contact|write)\b", re.I),
@@ -105,10 +117,24 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """At each anchor the country's length, then the others of 15 to 34, the longest first: the first end of a word that passes."""
+    done = 0
     for m in _IBAN.finditer(text):
-        code = m[0].replace(" ", "")
-        if 15 <= len(code) <= 34 and mod97(code):
-            yield m.span()
+        rest = _IBAN_REST.match(text, m.end()) if m.start() >= done else None
+        if rest is None:
+            continue
+        code, ends = m[0], {}
+        for i in range(m.end(), rest.end()):
+            if text[i] != " ":
+                code += text[i]
+                if len(code) >= 15 and not _ALNUM.match(text, i + 1):
+                    ends[len(code)] = i + 1
+        own = _IBAN_LENGTHS.get(code[:2])
+        for n in sorted(ends, key=lambda n: (n != own, -n)):
+            if mod97(code[:n]):
+                yield m.start(), ends[n]
+                done = ends[n]
+                break
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
