@@ -213,32 +213,50 @@ def lisa_clusters(local: DataFrame, level: float = 0.05):
     return local.withColumn("cluster", F.when(F.col("p_sim") < level, label).otherwise("Not significant"))
 
 
-def permutation_test(spark, lagged: DataFrame, edges: DataFrame, key: str, permutations: int = 999, seed: int = 42, most: int = 200_000, most_edges: int = 5_000_000) -> DataFrame:
-    """Global I's z_sim and p_sim: each task permutes the values over the graph with seeds of its own.
+#: Edges that a task holds at a time, while all permutations pass over them.
+EDGES = 2_000_000
 
-    The graph and the values go to tasks whole, so the numbers of points and edges are checked against bounds first.
+
+def permutation_test(spark, lagged: DataFrame, edges: DataFrame, key: str, permutations: int = 999, seed: int = 42) -> DataFrame:
+    """Global I's z_sim and p_sim: each permutation has a seed of its own and shuffles all values over the graph.
+
+    I is a sum over edges of the two ends' values by the neighbours of the first, so edges stay in their
+    partitions, in any number: a task draws the same permutations for its edges and gives their partial sums.
+    Tasks receive key, value and number of neighbours of each point (24 bytes).
     """
-    n, n_edges = lagged.count(), edges.count()
-    if n > most or n_edges > most_edges:
-        raise ValueError(f"{n} points and {n_edges} edges are more than {most} and {most_edges}")
-    rows = lagged.select(key, "z").orderBy(key).collect()
-    at = {r[key]: i for i, r in enumerate(rows)}
-    z = np.array([r.z for r in rows], float)
-    pairs = [(at[r.src], at[r.dst]) for r in edges.collect() if r.src in at and r.dst in at]
-    src, dst = (np.array(c, int) for c in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-
-    def statistic(values: np.ndarray) -> float:
-        degree = np.bincount(src, minlength=len(values))
-        lag = np.bincount(src, values[dst], minlength=len(values)) / np.maximum(degree, 1)
-        return float(len(values) / max(1, (degree > 0).sum()) * (values * lag).sum() / (values**2).sum())
+    points = lagged.select(F.col(key).alias("k"), F.col("z").cast("double"), F.col("n_neighbours").cast("long")).toArrow().sort_by("k")
+    keys, z, degree = (points.column(c).to_numpy() for c in ("k", "z", "n_neighbours"))
+
+    def sums(src: np.ndarray, dst: np.ndarray) -> pa.RecordBatch:
+        at, to = np.searchsorted(keys, src), np.searchsorted(keys, dst)
+        at, to = np.minimum(at, len(keys) - 1), np.minimum(to, len(keys) - 1)
+        known = (keys[at] == src) & (keys[to] == dst)
+        at, to = at[known], to[known]
+        weight = 1 / degree[at]
+        drawn = ((np.random.default_rng([seed, i]).permutation(z) if i >= 0 else z) for i in range(-1, permutations))  # -1: as observed
+        found = [float((weight * v[at] * v[to]).sum()) for v in drawn]
+        return pa.RecordBatch.from_arrays([pa.array(range(-1, permutations), pa.int64()), pa.array(found, pa.float64())], schema=pa.schema([("i", pa.int64()), ("s", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        n = 0
         for batch in batches:
-            out = [statistic(np.random.default_rng([seed, i]).permutation(z)) for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.float64())], schema=pa.schema([("i_sim", pa.float64())]))
-
-    observed = statistic(z)
-    sims = spark.range(permutations).mapInArrow(run, "i_sim double")
-    larger = F.count_if(F.col("i_sim") >= observed)
-    out = sims.agg(F.avg("i_sim").alias("m"), F.stddev_pop("i_sim").alias("s"), larger.alias("larger"))
-    return out.select(F.lit(observed).alias("moran_i"), ((F.lit(observed) - F.col("m")) / F.col("s")).alias("z_sim"), ((F.least("larger", F.lit(permutations) - F.col("larger")) + 1) / (permutations + 1)).alias("p_sim"))
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            n += batch.num_rows
+            if n >= EDGES:
+                yield sums(*map(np.concatenate, zip(*held, strict=True)))
+                held, n = [], 0
+        if n:
+            yield sums(*map(np.concatenate, zip(*held, strict=True)))
+
+    scale = len(z) / max(1, int((degree > 0).sum()))
+    zz = float((z**2).sum())
+    # the join that makes edges reads little, so its tasks are few
+    spread = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = edges.select("src", "dst").repartition(spread, "src").mapInArrow(run, "i long, s double").groupBy("i").agg(F.sum("s").alias("s"))
+    # a graph without edges has I = 0 throughout
+    sims = spark.range(-1, permutations).withColumnRenamed("id", "i").join(parts, "i", "left").select("i", F.try_divide(F.lit(scale) * F.coalesce("s", F.lit(0.0)), F.lit(zz)).alias("i_sim"))
+    observed = sims.where("i = -1").select(F.col("i_sim").alias("moran_i"))
+    drawn = sims.where("i >= 0").crossJoin(F.broadcast(observed))
+    out = drawn.agg(F.first("moran_i").alias("moran_i"), F.avg("i_sim").alias("m"), F.stddev_pop("i_sim").alias("s"), F.count_if(F.col("i_sim") >= F.col("moran_i")).alias("larger"))
+    return out.select("moran_i", F.try_divide(F.col("moran_i") - F.col("m"), F.col("s")).alias("z_sim"), ((F.least("larger", F.lit(permutations) - F.col("larger")) + 1) / (permutations + 1)).alias("p_sim"))

@@ -1,6 +1,10 @@
 import math
 import random
 
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
 from plumeline.operators import spatial
 from plumeline.plans import queries as plans
 from plumeline.sources import views
@@ -48,3 +52,42 @@ def test_nearest_region_around_every_shape_by_brute_force(spark):
     got = spatial.nearest_region(spark.createDataFrame(points, "x double, y double"), "x", "y", plans.POLYGONS, 0.5).collect()
     assert len(got) == len(points) and all(agrees(r, *expected(r.x, r.y)[:2]) for r in got)
     assert {region for region, distance, held in (expected(r.x, r.y) for r in got) if not held} == {None, 0, 1, 2, 3}
+
+
+def by_hand(z, pairs, permutations, seed=42):
+    """I of the values and of the same permutations, from the whole matrix of weights."""
+    w = np.zeros((len(z), len(z)))
+    w[tuple(np.array(pairs).T)] = 1
+    degree = w.sum(axis=1)
+    w /= np.maximum(degree, 1)[:, None]
+    drawn = [z] + [np.random.default_rng([seed, i]).permutation(z) for i in range(permutations)]
+    return [len(z) / (degree > 0).sum() * (v @ w @ v) / (v @ v) for v in drawn]
+
+
+def same_test(r, sims):
+    larger = sum(s >= sims[0] for s in sims[1:])
+    z_sim = (sims[0] - np.mean(sims[1:])) / np.std(sims[1:])
+    return math.isclose(r.moran_i, sims[0], rel_tol=1e-9) and math.isclose(r.z_sim, z_sim, rel_tol=1e-6) and math.isclose(r.p_sim, (min(larger, len(sims) - 1 - larger) + 1) / len(sims))
+
+
+@pytest.mark.parametrize("held", [50, 2_000_000])
+def test_permutation_test_by_hand(spark, monkeypatch, held):
+    monkeypatch.setattr(spatial, "EDGES", held)
+    rng = np.random.default_rng(6)
+    value = rng.exponential(size=60)
+    pairs = [(a, b) for a in range(55) for b in range(55) if a != b and rng.random() < 0.2]  # the last five are islands
+    points = spark.createDataFrame([(i * 3, float(v)) for i, v in enumerate(value)], "key long, v double")
+    edges = spark.createDataFrame([(a * 3, b * 3) for a, b in pairs], "src long, dst long")
+    (r,) = spatial.permutation_test(spark, spatial.spatial_lag(points, edges, "key", "v"), edges, "key", 99).collect()
+    assert same_test(r, by_hand(value - value.mean(), pairs, 99))
+
+
+def test_permutation_test_beyond_five_million_edges(spark):
+    n = 2400
+    value = np.random.default_rng(7).exponential(size=n)
+    points = spark.createDataFrame([(i, float(v)) for i, v in enumerate(value)], "key long, v double")
+    edges = spark.range(n).select(F.col("id").alias("src")).crossJoin(spark.range(n).select(F.col("id").alias("dst"))).where("src != dst and (src * src + dst) % 30 != 0")
+    pairs = [(a, b) for a in range(n) for b in range(n) if a != b and (a * a + b) % 30]
+    assert len(pairs) > 5_000_000
+    (r,) = spatial.permutation_test(spark, spatial.spatial_lag(points, edges, "key", "v"), edges, "key", 9).collect()
+    assert same_test(r, by_hand(value - value.mean(), pairs, 9))
