@@ -197,13 +197,12 @@ def _permuter(values: np.ndarray, permutations: int, seed: int) -> Callable:
     return run
 
 
-def local_significance(local: DataFrame, key: str, permutations: int = 999, seed: int = 42, pool: int = 100_000) -> DataFrame:
+def local_significance(local: DataFrame, key: str, permutations: int = 999, seed: int = 42) -> DataFrame:
     """p_sim of each local I by conditional permutation, seeded for each key.
 
-    Tasks draw from a pool of at most `pool` deviations, chosen by a hash of the key.
+    Tasks draw from all deviations, which they receive whole (8 bytes each).
     """
-    rows = local.select("z").orderBy(F.xxhash64(key, F.lit(seed)), key).limit(pool).collect()
-    values = np.sort(np.array([r.z for r in rows], float))
+    values = np.sort(local.select(F.col("z").cast("double")).toArrow().column(0).to_numpy())
     tested = local.select(F.col(key).cast("long").alias("k"), "z", F.col("n_neighbours").cast("long"), "local_i").mapInArrow(_permuter(values, permutations, seed), "k long, p_sim double")
     return local.join(tested, local[key] == tested["k"]).drop("k")
 

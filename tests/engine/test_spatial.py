@@ -91,3 +91,21 @@ def test_permutation_test_beyond_five_million_edges(spark):
     assert len(pairs) > 5_000_000
     (r,) = spatial.permutation_test(spark, spatial.spatial_lag(points, edges, "key", "v"), edges, "key", 9).collect()
     assert same_test(r, by_hand(value - value.mean(), pairs, 9))
+
+
+def test_local_significance_draws_from_all_values(spark):
+    # 120,000 skewed values, of which thirty have neighbours
+    z = F.when(F.col("id") % 1000 == 7, F.col("id") / 10.0).otherwise(-(F.col("id") % 13) / 10.0)
+    local = spark.range(120_000).select(F.col("id").alias("key"), z.alias("z"), F.when(F.col("id") % 4000 == 7, 5).otherwise(0).alias("n_neighbours"))
+    # an I in the midst of those that are drawn
+    middle = local.agg(-0.6 * F.count(F.lit(1)) / F.sum(F.col("z") * F.col("z"))).first()[0]
+    local = local.withColumn("local_i", F.col("z") * middle)
+    rows = local.orderBy("z").collect()
+    values = np.array([r.z for r in rows])
+    got = {r.key: r.p_sim for r in spatial.local_significance(local, "key").where("n_neighbours > 0").collect()}
+    assert len(got) == 30
+    for r in rows:
+        if r.n_neighbours:
+            drawn = values[np.random.default_rng([42, r.key]).integers(0, len(values), (999, 5))]
+            larger = int(((len(values) - 1) * r.z * drawn.mean(axis=1) / (values**2).sum() >= r.local_i).sum())
+            assert got[r.key] == (min(larger, 999 - larger) + 1) / 1000
