@@ -490,6 +490,12 @@ def set_agreement(spark, d):
     return quality.same_sets(n, views.table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_nationkey").alias("k")), "k")
 
 
+@query("set_agreement_all", "SELECT DISTINCT c_custkey AS value, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL) UNION ALL SELECT DISTINCT user_id, 'right' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
+def set_agreement_all(spark, d):
+    c = views.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
+    return quality.same_sets(c, views.table(spark, d, "events").select(F.col("user_id").alias("k")), "k")
+
+
 @query("covariate_coverage", "SELECT 'n_orders' AS field, count(o.n) AS n_present, round(count(o.n) / count(*), 6) AS share FROM customer c LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) o ON c.c_custkey = o.o_custkey UNION ALL SELECT 'c_acctbal', count(c_acctbal), round(count(c_acctbal) / count(*), 6) FROM customer")
 def covariate_coverage(spark, d):
     o = views.table(spark, d, "orders").where("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n_orders"))
