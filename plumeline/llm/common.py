@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that the operators split and normalise on: space, tab, LF, VT, FF and CR.
@@ -21,10 +21,12 @@ CHUNK_BYTES = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set, else a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run on one machine may it be unset; a temporary one stands in."""
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
+        if not configured and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = configured or tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(configured)
     return configured or sc.getCheckpointDir()
@@ -41,6 +43,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a cut table that share a partition at least.
+SMALL = 50_000
+
+
+def cut_counted(df: DataFrame, **sums) -> tuple[DataFrame, dict[str, int]]:
+    """cut, with the rows (n) and further sums counted in the same job; a small table gets few partitions."""
+    seen = Observation()
+    done = cut(df.observe(seen, F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(c) for c, x in sums.items()]))
+    got = {c: int(x or 0) for c, x in seen.get.items()}
+    return done.coalesce(got["n"] // SMALL + 1), got
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -86,19 +100,24 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0]
 
 
+def give_back() -> None:
+    """Return what arrays took to the system: a large table of powers, and what the allocator keeps."""
+    if _POWERS and len(_POWERS[0][0]) > 2 * CHUNK_BYTES:
+        _POWERS.clear()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(run):
     """run, a function over record batches, which at its end gives back the memory that its arrays took.
 
     Python workers live on from task to task and from stage to stage, and what the allocator keeps counts
-    against their executor.
+    against their executor. Tasks receive give_back by its name, so that no table of this module goes with them.
     """
 
     def whole(batches):
         yield from run(batches)
-        if _POWERS and len(_POWERS[0][0]) > 2 * CHUNK_BYTES:
-            _POWERS.clear()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return whole
 
