@@ -9,14 +9,18 @@
    stop there. The others are confirmed on the full sets, recomputed from the whole texts. Confirmed
    links give components.
 4. Buckets that still hold several components get a centre: of the component of their most typical
-   member, the class with the fewest shingles that no other such class has, so that the buckets of a
-   group share one centre. Each member is compared with it in full, which gives
-   what they share and what the member has beyond it. Two members x and y can share at most the lesser
-   of what each shares with the centre, and what both have beyond it; the latter is counted exactly, by
-   a join on those few shingles. So members outside their leader's component meet the members of other
-   components only where that bound leaves room for a link: no link between components is lost, pairs
-   inside a component are never listed, and large groups whose members lie just below the threshold
-   cost as much as they have rare shingles in common.
+   member (the one whose buckets hold the most members), the most typical class, so that the buckets of a
+   group share one centre. Each member is compared with it in full, which gives what they share and what
+   the member has beyond it. Two members share at most the lesser of what each shares with the centre, and
+   what both have beyond it. Only a member x that isn't linked with the centre c still has to be compared.
+   A member y that isn't smaller than c must share something beyond c with x, else x would be linked with
+   c; how much at least follows from the sizes, so a common one stands among the rarest few beyond c of
+   both (prefix filtering), and the two meet by a join on those. Rarity is a count of all that lies beyond
+   centres, in a table of fixed size; any order would do, the rarest first makes the fewest pairs. A
+   smaller y can be linked without that, but only if its size lies in a range that x's figures give; x
+   asks for those sizes. What then meets has to pass the bound and the estimate, and is confirmed on the
+   full sets. So no link between components is lost, pairs inside a component are never listed, and a large
+   group whose members lie just below the threshold costs as much as they have rare shingles in common.
 5. New links join components; each document gets the least doc_id of its component.
 
 A pair at the threshold of 0.8 shares no band with a probability of 3e-6; the estimate's cut-off lies
@@ -38,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, membership, mix64, text_or_empty, to_buffer, trimmed, with_membership, words
+from .common import _SPACE, CHUNK_BYTES, chunks, cut, cut_counted, membership, mix64, text_or_empty, to_buffer, trimmed, with_membership, words
 from .components import components
 
 #: Minima, bands of ROWS minima each, and bits kept of each minimum.
@@ -52,30 +56,61 @@ _B = _RANDOM.integers(0, 1 << 32, HASHES, dtype=np.uint32)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
-def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
-    _, _, hashed, first = words(raw, offsets)
+def _rolled(hashed: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of width words."""
     n = max(0, len(hashed) - width + 1)
     rolled = np.zeros(n, np.uint64)
     for j in range(width):
         rolled = rolled * _STEP + hashed[j : j + n]
-    rolled = mix64(rolled)
-    out = []
-    for begin, end in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-        if end - begin >= width:
-            found = np.sort(rolled[begin : end - width + 1])
-            keep = np.empty(len(found), bool)
-            keep[0] = True
-            np.not_equal(found[1:], found[:-1], out=keep[1:])
-            out.append(found[keep])
-        elif end > begin:
-            whole = np.uint64(end - begin)
-            for x in hashed[begin:end]:
-                whole = np.uint64((int(whole) * int(_STEP) + int(x)) & (2**64 - 1))
-            out.append(mix64(np.array([whole], np.uint64)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    return mix64(rolled)
+
+
+def _whole(hashed: np.ndarray) -> np.ndarray:
+    """The one shingle of a text with fewer words than a shingle has; none without words."""
+    if not len(hashed):
+        return np.zeros(0, np.uint64)
+    whole = len(hashed)
+    for x in hashed:
+        whole = (whole * int(_STEP) + int(x)) & (2**64 - 1)
+    return mix64(np.array([whole], np.uint64))
+
+
+def _distinct(found: np.ndarray) -> np.ndarray:
+    found = np.sort(found)
+    keep = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=keep[1:])
+    return found[keep]
+
+
+def _long_set(raw: np.ndarray, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of one long text, read in parts that end before white space."""
+    parts, held, carried, begin = [], 0, np.zeros(0, np.uint64), 0
+    while begin < len(raw):
+        end = min(len(raw), begin + CHUNK_BYTES)
+        while end < len(raw) and not _SPACE[raw[end]]:
+            after = np.flatnonzero(_SPACE[raw[end : end + CHUNK_BYTES]])
+            end = end + int(after[0]) if len(after) else min(len(raw), end + CHUNK_BYTES)
+        hashed = np.concatenate([carried, words(raw[begin:end], np.array([0, end - begin]))[2]])
+        parts.append(_distinct(_rolled(hashed, width)))
+        held += len(parts[-1])
+        if held > 2 * len(parts[0]) + 1_000_000:
+            parts = [_distinct(np.concatenate(parts))]
+            held = len(parts[0])
+        carried, begin = hashed[max(0, len(hashed) - width + 1) :], end
+    found = _distinct(np.concatenate(parts))
+    return found if len(found) else _whole(carried)
+
+
+def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each row."""
+    if len(offsets) == 2 and len(raw) > CHUNK_BYTES:
+        return [_long_set(raw, width)]
+    _, _, hashed, first = words(raw, offsets)
+    rolled = _rolled(hashed, width)
+    return [
+        _distinct(rolled[begin : end - width + 1]) if end - begin >= width else _whole(hashed[begin:end])
+        for begin, end in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)
+    ]
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -169,30 +204,11 @@ def _confirmer(width: int, percent: int) -> Callable:
     return run
 
 
-def _own_shingles(width: int) -> Callable:
-    schema = pa.schema([("cid", pa.int64()), ("shingle", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cid = batch.column(0).to_numpy()
-            raw, offsets = to_buffer(batch.column(1))
-            for a, b in chunks(offsets):
-                sets = shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                owner = np.repeat(cid[a:b], [len(x) for x in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], schema=schema)
-
-    return run
-
-
-def _alone(texts: DataFrame, width: int) -> DataFrame:
-    """cid and alone: how many of its shingles no other class among texts has (classes with none are left out)."""
-    held = texts.mapInArrow(trimmed(_own_shingles(width)), "cid long, shingle long")
-    single = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("holders"), F.min("cid").alias("cid")).where("holders = 1")
-    return single.groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
+_CENTRED = "cid long, centre long, n long, m long, shared long, beyond array<long>"
 
 
 def _beyond(width: int) -> Callable:
-    schema = pa.schema([("cid", pa.int64()), ("centre", pa.int64()), ("shared", pa.int64()), ("beyond", pa.list_(pa.int64()))])
+    schema = pa.schema([(c, pa.int64()) for c in ("cid", "centre", "n", "m", "shared")] + [("beyond", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, np.ndarray | None] = (None, None)
@@ -201,7 +217,7 @@ def _beyond(width: int) -> Callable:
             raw, offsets = to_buffer(batch.column(2))
             raw_v, offsets_v = to_buffer(batch.column(3))
             for a, b in chunks(offsets):
-                shared, beyond = [], []
+                n, m, shared, beyond = [], [], [], []
                 for i, own in zip(range(a, b), shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width), strict=True):
                     if last[0] != v[i]:
                         text = raw_v[offsets_v[i] : offsets_v[i + 1]]
@@ -209,16 +225,73 @@ def _beyond(width: int) -> Callable:
                     at = np.searchsorted(last[1], own)
                     at[at == len(last[1])] = 0
                     both = last[1][at] == own
+                    n.append(len(own))
+                    m.append(len(last[1]))
                     shared.append(int(both.sum()))
                     beyond.append(own[~both].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(u[a:b]), pa.array(v[a:b]), pa.array(shared, pa.int64()), pa.array(beyond, schema.field("beyond").type)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(u[a:b]), pa.array(v[a:b]), *(pa.array(x, pa.int64()) for x in (n, m, shared)), pa.array(beyond, schema.field("beyond").type)], schema=schema)
 
     return run
 
 
 def _against_centre(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """For pairs (u, v): u as cid, v as centre, how many shingles they share, and those that u has beyond v."""
-    return _with_texts(pairs, texts).mapInArrow(trimmed(_beyond(width)), "cid long, centre long, shared long, beyond array<long>")
+    """For pairs (u, v): u as cid, v as centre, their sizes n and m, how many shingles they share, and those that u has beyond v."""
+    return _with_texts(pairs, texts).mapInArrow(trimmed(_beyond(width)), _CENTRED)
+
+
+#: Places of the table that counts shingles beyond centres; its size is fixed.
+RARITY_BITS = 18
+
+
+def _rarity(centred: DataFrame) -> np.ndarray:
+    """How many of the shingles beyond centres fall on each place of the table."""
+    place = F.col("extra").bitwiseAND((1 << RARITY_BITS) - 1).cast("int")
+    rows = centred.select(F.explode("beyond").alias("extra")).groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(1 << RARITY_BITS, np.int64)
+    counts[rows.column("place").to_numpy()] = rows.column("n").to_numpy()
+    return np.minimum(counts, 2**31 - 1).astype(np.int32)
+
+
+def least_shared(total, percent: int):
+    """What two sets of this total size must share to be linked."""
+    return -(-percent * total // (100 + percent))
+
+
+_RARE = "centre long, extra long, cid long, own long, leads long, n long, m long, shared long, wide boolean, p0 long, p1 long, p2 long, p3 long"
+
+
+def _rarest(counts: np.ndarray, percent: int) -> Callable:
+    """The rarest shingles beyond the centre, as many as a partner must meet; wide: those that only partners smaller than the centre need."""
+    names = [x.split()[0] for x in _RARE.split(", ")]
+    schema = pa.schema([(c, pa.bool_() if c == "wide" else pa.int64()) for c in names])
+    mask = (1 << RARITY_BITS) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, leads, n, m, shared = (batch.column(c).to_numpy() for c in ("own", "leads", "n", "m", "shared"))
+            lists = batch.column("beyond")
+            values, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+            # whatever the partner, it has at least so many shingles
+            floor = least_shared(n - (-percent * n // 100), percent) - shared
+            probing = own != leads
+            # x shares too little with the centre, so with a partner of the centre's size or more it shares something else;
+            # a partner y of such an x meets it in more, the larger y is
+            few = np.maximum(np.maximum(floor, np.where(probing, least_shared(n + m, percent) - shared, percent * (n - m) // (100 + percent) + 1)), 1)
+            many = np.where(probing, np.maximum(floor, 1), few)
+            sizes = np.diff(ends)
+            owner = np.repeat(np.arange(len(n)), sizes)
+            order = np.lexsort((values, counts[values & mask], owner))
+            rank = np.arange(len(values)) - ends[:-1][owner]
+            # a shingle that stands alone in its place of the table meets nobody
+            take = (rank <= (sizes - many)[owner]) & (counts[values & mask][order] > 1)
+            row, extra = owner[take], values[order][take]
+            wide = rank[take] > (sizes - few)[row]
+            if len(row):
+                held = batch.take(pa.array(row))
+                columns = {"extra": pa.array(extra), "wide": pa.array(wide)}
+                yield pa.RecordBatch.from_arrays([columns[c] if c in columns else held.column(c) for c in names], schema=schema)
+
+    return run
 
 
 def _leaves_room(most: Column, x: str, y: str, percent: int) -> Column:
@@ -229,20 +302,59 @@ def _leaves_room(most: Column, x: str, y: str, percent: int) -> Column:
 def _extended(label: DataFrame, links: DataFrame) -> DataFrame:
     """label (cid, component), of classes that aren't the least of theirs, with further links between classes."""
     to = lambda c: label.select(F.col("cid").alias(c), F.col("component").alias(f"{c}_in"))
-    between = links.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("u_in", "u").alias("u"), F.coalesce("v_in", "v").alias("v")).distinct()
+    between = links.join(to("u"), "u", "left").join(to("v"), "v", "left").select(F.coalesce("u_in", "u").alias("u"), F.coalesce("v_in", "v").alias("v"))
+    between, seen = cut_counted(between.where("u <> v").distinct())
+    if not seen["n"]:
+        return label
     joined = components(between)
     over = joined.select(F.col("node").alias("component"), F.col("component").alias("above"))
     label = label.join(over, "component", "left").select("cid", F.coalesce("above", "component").alias("component"))
-    return cut(label.unionByName(joined.select(F.col("node").alias("cid"), "component")))
+    return cut_counted(label.unionByName(joined.select(F.col("node").alias("cid"), "component")))[0]
 
 
 def _relabelled(placed: DataFrame, label: DataFrame) -> DataFrame:
-    """placed (bucket, cid) with own, the component, for buckets that hold more than one."""
-    now = placed.join(label, "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("own"))
+    """placed (bucket, size, cid) with own, the component, for buckets that hold more than one."""
+    now = placed.join(label, "cid", "left").select("bucket", "size", "cid", F.coalesce("component", "cid").alias("own"))
     mixed = now.groupBy("bucket").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("bucket")
     return now.join(mixed, "bucket")
 
 
+def _with_centres(mixed: DataFrame) -> DataFrame:
+    """Pairs of the members of mixed buckets (u) and their bucket's centre (v)."""
+    fame = mixed.groupBy("cid").agg(F.sum("size").alias("fame"), F.first("own").alias("own"))
+    # the most famous member of each component, and of each bucket; buckets led by one component share its centre
+    centre = fame.groupBy("own").agg(F.max_by("cid", F.struct("fame", "cid")).alias("centre"))
+    known = fame.join(centre, "own").select("cid", "fame", "centre")
+    led = mixed.select("bucket", "cid").join(known, "cid").groupBy("bucket").agg(F.max_by("centre", F.struct("fame", "cid")).alias("v"))
+    return mixed.select("bucket", F.col("cid").alias("u")).join(led, "bucket").where("u <> v").select("u", "v").distinct()
+
+
+def _still_open(centred: DataFrame, label: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of classes around a centre, in different components, which may be linked by what is known of them."""
+    own = label.select(F.col("cid").alias("k"), "component")
+    around = centred.join(own, F.col("cid") == F.col("k"), "left").withColumn("own", F.coalesce("component", "cid")).drop("k", "component")
+    around = around.join(own, F.col("centre") == F.col("k"), "left").withColumn("leads", F.coalesce("component", "centre")).drop("k", "component")
+    around = cut_counted(around.join(classes.select("cid", "p0", "p1", "p2", "p3"), "cid"))[0]
+    plain = around.drop("beyond")
+    apart = (F.col("x.own") != F.col("y.own")) & _may_link("x", "y", percent)
+    common = F.least("x.shared", "y.shared")
+    # with something in common beyond the centre: x and y meet by what is rare. If both are outside the centre's
+    # component and only x is smaller than it, they meet with the roles exchanged
+    rare = around.mapInArrow(trimmed(_rarest(_rarity(centred), percent)), _RARE)
+    rare = cut_counted(rare)[0]
+    met = rare.groupBy("centre", "extra").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("centre", "extra")
+    rare = rare.join(met, ["centre", "extra"])
+    room = _leaves_room(common + F.least(F.col("x.n") - F.col("x.shared"), F.col("y.n") - F.col("y.shared")), "x", "y", percent)
+    reach = (F.col("y.n") < F.col("y.m")) | (~F.col("x.wide") & ~F.col("y.wide"))
+    rich = rare.where("own <> leads").alias("x").join(rare.alias("y"), (F.col("x.centre") == F.col("y.centre")) & (F.col("x.extra") == F.col("y.extra")) & apart & room & reach)
+    # with nothing: y is smaller than the centre, and x asks for its sizes
+    low, high = F.ceil(F.col("n") * percent / 100).cast("long"), F.least(F.col("m") - 1, F.floor(F.col("shared") * (100 + percent) / percent).cast("long") - F.col("n"))
+    asking = plain.where("own <> leads").withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("asked", F.explode(F.sequence("low", "high")))
+    poor = asking.alias("x").join(plain.alias("y"), (F.col("x.centre") == F.col("y.centre")) & (F.col("x.asked") == F.col("y.n")) & apart & _leaves_room(common, "x", "y", percent))
+    ids = F.col("x.cid").alias("u"), F.col("y.cid").alias("v")
+    return rich.select(*ids).unionByName(poor.select(*ids))
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame) -> DataFrame:
     """cid and the whole text of each wanted class."""
     held = docs.select(F.col("doc_id").cast("long").alias("rep_id"), F.xxhash64(text_or_empty()).alias("rep_key"), text_or_empty().alias("text"))
@@ -278,46 +390,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     known = classes.select("cid", *marks)
     pairs = crowd.where("cid <> leader").select(F.col("cid").alias("u"), F.col("leader").alias("v")).distinct()
     pairs = pairs.join(known.alias("x"), F.col("u") == F.col("x.cid")).join(known.alias("y"), F.col("v") == F.col("y.cid")).where(_may_link("x", "y", percent)).select("u", "v")
-    pairs = cut(pairs)
-    crowded = crowd.where("size > 2").select("bucket", "cid")
+    pairs = cut_counted(pairs)[0]
+    crowded = crowd.where("size > 2").select("bucket", "size", "cid")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("cid")).unionByName(crowded.select("cid")).distinct()
     texts = cut(_texts_of(docs, wanted, classes))
     label = components(_confirmed(pairs, texts, width, percent)).select(F.col("node").alias("cid"), "component")
 
-    mixed = cut(_relabelled(crowded, label))
-    if not mixed.isEmpty():
-        alone = _alone(texts.join(mixed.select("cid").distinct(), "cid"), width)
-        facts = cut(classes.select("cid", *marks).join(mixed.select("cid").distinct(), "cid").join(alone, "cid", "left").fillna(0, ["alone"]))
-        marked = mixed.join(facts, "cid")
-        share = (F.col("alone") / F.col("n")).alias("share")
-        second = marked.groupBy("bucket").agg(F.min(F.struct(share, "cid", "own")).alias("b")).select("bucket", F.col("b.own").alias("led"))
-        # buckets whose best member is of one component share that component's centre
-        centres = marked.groupBy(F.col("own").alias("led")).agg(F.min(F.struct(share, "cid")).alias("b")).select("led", F.col("b.cid").alias("centre"))
-        pairs = mixed.join(second, "bucket").join(centres, "led").where("cid <> centre").select(F.col("cid").alias("u"), F.col("centre").alias("v")).distinct()
-        centred = cut(_against_centre(pairs, texts, width))
-        n_of = facts.select(F.col("cid").alias("k"), F.col("n").alias("m"))
-        sizes = centred.join(n_of, F.col("cid") == F.col("k")).withColumnRenamed("m", "n").drop("k").join(n_of, F.col("centre") == F.col("k"))
-        label = _extended(label, sizes.where(F.col("shared") * 100 >= (F.col("n") + F.col("m") - F.col("shared")) * percent).select(F.col("cid").alias("u"), F.col("centre").alias("v")))
-
-        # members outside their centre's component, against all of the other components around it
-        own = label.select(F.col("cid").alias("k"), "component")
-        around = centred.join(own, F.col("cid") == F.col("k"), "left").select("cid", "centre", "shared", "beyond", F.coalesce("component", "cid").alias("own"))
-        around = around.join(own, F.col("centre") == F.col("k"), "left").withColumn("leads", F.coalesce("component", "centre")).drop("component", "k").join(facts.drop("alone"), "cid")
-        around = cut(around)
-        apart = (F.col("x.own") != F.col("y.own")) & _may_link("x", "y", percent)
-        fewer = F.least("x.shared", "y.shared")
-        # with nothing in common beyond the centre
-        near = around.where("own <> leads").drop("beyond").alias("x").join(around.drop("beyond").alias("y"), (F.col("x.centre") == F.col("y.centre")) & apart & _leaves_room(fewer, "x", "y", percent))
-        # with something
-        each = around.withColumn("extra", F.explode("beyond")).select("cid", "centre", "own", "leads", "extra")
-        common = each.where("own <> leads").alias("x").join(each.alias("y"), (F.col("x.centre") == F.col("y.centre")) & (F.col("x.extra") == F.col("y.extra")) & (F.col("x.own") != F.col("y.own")))
-        common = common.groupBy(F.col("x.centre").alias("centre"), F.col("x.cid").alias("u"), F.col("y.cid").alias("v")).agg(F.count(F.lit(1)).alias("k"))
-        known_by = around.drop("beyond")
-        rich = common.alias("c").join(known_by.alias("x"), (F.col("c.centre") == F.col("x.centre")) & (F.col("c.u") == F.col("x.cid"))).join(known_by.alias("y"), (F.col("c.centre") == F.col("y.centre")) & (F.col("c.v") == F.col("y.cid")))
-        rich = rich.where(_leaves_room(fewer + F.col("c.k"), "x", "y", percent) & apart)
-        more = near.select("x.cid", "y.cid").toDF("u", "v").unionByName(rich.select("c.u", "c.v"))
-        more = cut(more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        if not more.isEmpty():
+    mixed, seen = cut_counted(_relabelled(crowded, label))
+    if seen["n"]:
+        centred = cut(_against_centre(_with_centres(mixed), texts, width))
+        linked = F.col("shared") * 100 >= (F.col("n") + F.col("m") - F.col("shared")) * percent
+        label = _extended(label, centred.where(linked).select(F.col("cid").alias("u"), F.col("centre").alias("v")))
+        more = _still_open(centred, label, classes, percent)
+        more, seen = cut_counted(more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        if seen["n"]:
             label = _extended(label, _confirmed(more, texts, width, percent))
     placed = classes.select("cid", "fp_hi", "fp_lo", "rep_id").join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = placed.groupBy("component").agg(F.min("rep_id").alias("component_id"))
@@ -330,8 +416,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that represent their component, with all their columns; rows without an id stay."""
     drop = cut(near_duplicates(docs, width, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("dropped_id")).distinct())
-    names = [f"`{c}`" for c in docs.columns]
-    marked = with_membership(docs.select("*", F.col("doc_id").cast("long").alias("_asked")), "_asked", membership(drop, "dropped_id"))
+    # the documents' own columns stay in a struct, so none of their names can clash
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("asked"))
+    marked = with_membership(rows, "asked", membership(drop, "dropped_id"))
     # rows that are certainly kept need no join, so their texts don't move
     sure, unsure = marked.where("not maybe_in"), marked.where("maybe_in")
-    return sure.select(*names).unionAll(unsure.join(drop, F.col("_asked") == F.col("dropped_id"), "left_anti").select(*names))
+    return sure.select("row").unionAll(unsure.join(drop, F.col("asked") == F.col("dropped_id"), "left_anti").select("row")).select("row.*")

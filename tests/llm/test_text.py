@@ -3,8 +3,9 @@ import random
 import re
 
 import numpy as np
+from pyspark import cloudpickle
 
-from plumeline.llm import decontaminate, language_id, pii, toxicity
+from plumeline.llm import common, decontaminate, language_id, near_dedup, pii, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, score string"
 
@@ -83,6 +84,13 @@ def test_marginals_match_enumeration():
     assert all(np.allclose(x[300:], y) for x, y in zip(whole, part, strict=True))
 
 
+def test_closures_stay_small_after_training():
+    common.span_hashes(np.zeros(3_000_000, np.uint8), np.array([0]), np.array([5]))
+    runs = [toxicity._scorer(0.1), language_id._predictor(None), decontaminate._counter, near_dedup._featurer(2), near_dedup._confirmer(2, 80), language_id._window_sampler]
+    assert max(len(cloudpickle.dumps(common.trimmed(run))) for run in runs) < 20_000
+    common.give_back()
+
+
 def brute_pii(t):
     digits = lambda x: re.sub(r"[^0-9]", "", x)
     luhn = lambda s: sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
