@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_or_empty, to_buffer, trimmed
+from .common import chunks, give_back, text_or_empty, to_buffer, trimmed
 
 UNKNOWN = "und"
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
@@ -162,7 +162,9 @@ def fit(labelled: DataFrame, sample_a_label: int = SAMPLE_A_LABEL) -> ByteCnn |
     windows = np.zeros((len(rows), WINDOW), np.uint8)
     for i, r in enumerate(rows):
         windows[i, : len(r.window)] = np.frombuffer(bytes(r.window), np.uint8)
-    return train(windows, [r.label for r in rows])
+    net = train(windows, [r.label for r in rows])
+    give_back()
+    return net
 
 
 def _predictor(net: ByteCnn | None) -> Callable:

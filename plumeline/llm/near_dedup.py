@@ -18,8 +18,9 @@
    both (prefix filtering), and the two meet by a join on those. Rarity is a count of all that lies beyond
    centres, in a table of fixed size; any order would do, the rarest first makes the fewest pairs. A
    smaller y can be linked without that, but only if its size lies in a range that x's figures give; x
-   asks for those sizes. What then meets has to pass the bound and the estimate, and is confirmed on the
-   full sets. So no link between components is lost, pairs inside a component are never listed, and a large
+   asks for those sizes. What then meets has to pass the bound, another on what one has or lacks of the
+   centre and the other doesn't (counted in bits, so never too high), and the estimate, and is confirmed on
+   the full sets. So no link between components is lost, pairs inside a component are never listed, and a large
    group whose members lie just below the threshold costs as much as they have rare shingles in common.
 5. New links join components; each document gets the least doc_id of its component.
 
@@ -204,11 +205,22 @@ def _confirmer(width: int, percent: int) -> Callable:
     return run
 
 
-_CENTRED = "cid long, centre long, n long, m long, shared long, beyond array<long>"
+#: Longs that hold, as bits, what a class has beyond its centre and what it lacks of it.
+APART = 8
+_BITS = [f"d{i}" for i in range(APART)]
+_CENTRED = "cid long, centre long, n long, m long, shared long, beyond array<long>, " + ", ".join(f"{c} long" for c in _BITS)
+
+
+def _marked(parts: list[np.ndarray]) -> np.ndarray:
+    """A bit for each hash, its place taken from the hash: APART longs."""
+    bits = np.zeros(64 * APART, bool)
+    for part in parts:
+        bits[((part >> np.uint64(40)) % np.uint64(64 * APART)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
 
 
 def _beyond(width: int) -> Callable:
-    schema = pa.schema([(c, pa.int64()) for c in ("cid", "centre", "n", "m", "shared")] + [("beyond", pa.list_(pa.int64()))])
+    schema = pa.schema([(c, pa.int64()) for c in ("cid", "centre", "n", "m", "shared")] + [("beyond", pa.list_(pa.int64()))] + [(c, pa.int64()) for c in _BITS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int | None, np.ndarray | None] = (None, None)
@@ -217,7 +229,7 @@ def _beyond(width: int) -> Callable:
             raw, offsets = to_buffer(batch.column(2))
             raw_v, offsets_v = to_buffer(batch.column(3))
             for a, b in chunks(offsets):
-                n, m, shared, beyond = [], [], [], []
+                n, m, shared, beyond, bits = [], [], [], [], []
                 for i, own in zip(range(a, b), shingle_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width), strict=True):
                     if last[0] != v[i]:
                         text = raw_v[offsets_v[i] : offsets_v[i + 1]]
@@ -229,7 +241,11 @@ def _beyond(width: int) -> Callable:
                     m.append(len(last[1]))
                     shared.append(int(both.sum()))
                     beyond.append(own[~both].view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(u[a:b]), pa.array(v[a:b]), *(pa.array(x, pa.int64()) for x in (n, m, shared)), pa.array(beyond, schema.field("beyond").type)], schema=schema)
+                    lacking = np.ones(len(last[1]), bool)
+                    lacking[at[both]] = False
+                    bits.append(_marked([own[~both], last[1][lacking]]))
+                columns = [u[a:b], v[a:b], *(np.array(x, np.int64) for x in (n, m, shared)), *np.array(bits).T]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns[:5]), pa.array(beyond, schema.field("beyond").type), *map(pa.array, columns[5:])], schema=schema)
 
     return run
 
@@ -257,7 +273,7 @@ def least_shared(total, percent: int):
     return -(-percent * total // (100 + percent))
 
 
-_RARE = "centre long, extra long, cid long, own long, leads long, n long, m long, shared long, wide boolean, p0 long, p1 long, p2 long, p3 long"
+_RARE = "centre long, extra long, cid long, own long, leads long, n long, m long, shared long, wide boolean, p0 long, p1 long, p2 long, p3 long, " + ", ".join(f"{c} long" for c in _BITS)
 
 
 def _rarest(counts: np.ndarray, percent: int) -> Callable:
@@ -336,7 +352,9 @@ def _still_open(centred: DataFrame, label: DataFrame, classes: DataFrame, percen
     around = around.join(own, F.col("centre") == F.col("k"), "left").withColumn("leads", F.coalesce("component", "centre")).drop("k", "component")
     around = cut_counted(around.join(classes.select("cid", "p0", "p1", "p2", "p3"), "cid"))[0]
     plain = around.drop("beyond")
-    apart = (F.col("x.own") != F.col("y.own")) & _may_link("x", "y", percent)
+    # what one has or lacks of the centre and the other doesn't, they don't share: the bits that differ count some of it
+    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in _BITS), F.lit(0))
+    apart = (F.col("x.own") != F.col("y.own")) & (differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)) & _may_link("x", "y", percent)
     common = F.least("x.shared", "y.shared")
     # with something in common beyond the centre: x and y meet by what is rare. If both are outside the centre's
     # component and only x is smaller than it, they meet with the roles exchanged

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, span_hashes, text_or_empty, to_buffer, trimmed
+from .common import chunks, give_back, mix64, span_hashes, text_or_empty, to_buffer, trimmed
 from .language_id import held_out
 
 #: Labelled documents of each class that training reads at most, and characters of each at most (longer ones are not learnt from).
@@ -317,7 +317,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicField
     prior = counts.get(1, 0) / total
     if not toxic.any() or toxic.all():
         return prior
-    return train([r.text for r in rows], toxic, prior)
+    field = train([r.text for r in rows], toxic, prior)
+    give_back()
+    return field
 
 
 _SCHEMA = "doc_id long, held_out boolean, score double, predicted int, toxic_tokens double, spans string"
