@@ -40,6 +40,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,13 +277,14 @@ def least_shared(total, percent: int):
 _RARE = "centre long, extra long, cid long, own long, leads long, n long, m long, shared long, wide boolean, p0 long, p1 long, p2 long, p3 long, " + ", ".join(f"{c} long" for c in _BITS)
 
 
-def _rarest(counts: np.ndarray, percent: int) -> Callable:
+def _rarest(table: Broadcast, percent: int) -> Callable:
     """The rarest shingles beyond the centre, as many as a partner must meet; wide: those that only partners smaller than the centre need."""
     names = [x.split()[0] for x in _RARE.split(", ")]
     schema = pa.schema([(c, pa.bool_() if c == "wide" else pa.int64()) for c in names])
     mask = (1 << RARITY_BITS) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = table.value
         for batch in batches:
             own, leads, n, m, shared = (batch.column(c).to_numpy() for c in ("own", "leads", "n", "m", "shared"))
             lists = batch.column("beyond")
@@ -303,9 +305,8 @@ def _rarest(counts: np.ndarray, percent: int) -> Callable:
             row, extra = owner[take], values[order][take]
             wide = rank[take] > (sizes - few)[row]
             if len(row):
-                held = batch.take(pa.array(row))
-                columns = {"extra": pa.array(extra), "wide": pa.array(wide)}
-                yield pa.RecordBatch.from_arrays([columns[c] if c in columns else held.column(c) for c in names], schema=schema)
+                columns, at = {"extra": pa.array(extra), "wide": pa.array(wide)}, pa.array(row)
+                yield pa.RecordBatch.from_arrays([columns[c] if c in columns else batch.column(c).take(at) for c in names], schema=schema)
 
     return run
 
@@ -358,8 +359,9 @@ def _still_open(centred: DataFrame, label: DataFrame, classes: DataFrame, percen
     common = F.least("x.shared", "y.shared")
     # with something in common beyond the centre: x and y meet by what is rare. If both are outside the centre's
     # component and only x is smaller than it, they meet with the roles exchanged
-    rare = around.mapInArrow(trimmed(_rarest(_rarity(centred), percent)), _RARE)
-    rare = cut_counted(rare)[0]
+    table = centred.sparkSession.sparkContext.broadcast(_rarity(centred))
+    rare = cut_counted(around.mapInArrow(trimmed(_rarest(table, percent)), _RARE))[0]
+    table.unpersist()
     met = rare.groupBy("centre", "extra").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("centre", "extra")
     rare = rare.join(met, ["centre", "extra"])
     room = _leaves_room(common + F.least(F.col("x.n") - F.col("x.shared"), F.col("y.n") - F.col("y.shared")), "x", "y", percent)
