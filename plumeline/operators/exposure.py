@@ -45,7 +45,8 @@ def calibrate(points: DataFrame, weights: DataFrame, scales: DataFrame, region:
 def match_raster(points: DataFrame, raster: DataFrame, lat: str, lon: str, axes: tuple[float, float, float, int, int]) -> DataFrame:
     """Each point's nearest raster cell on its own UTC date; null outside the raster and where it has no data."""
     lat_start, lon_start, step, n_lat, n_lon = axes
-    inside = F.col(lat).between(lat_start - step / 2, lat_start + step * (n_lat - 0.5)) & F.col(lon).between(lon_start - step / 2, lon_start + step * (n_lon - 0.5))
+    # from the first coordinate to the last: points beyond the outermost cell centres are outside
+    inside = F.col(lat).between(lat_start, lat_start + step * (n_lat - 1)) & F.col(lon).between(lon_start, lon_start + step * (n_lon - 1))
     at = points.withColumn("lat_i", F.when(inside, nearest_index(lat, lat_start, step, n_lat))).withColumn("lon_i", F.when(inside, nearest_index(lon, lon_start, step, n_lon)))
     return at.join(raster.select("utc_date", "lat_i", "lon_i", finite(F.col("pm25")).alias("pm25")), ["utc_date", "lat_i", "lon_i"], "left")
 
@@ -55,15 +56,15 @@ def exposure(population: Column, pm25: Column) -> Column:
 
 
 def snapshot_grid(points: DataFrame, lon: str = "lon", lat: str = "lat", time: str = "local_time") -> DataFrame:
-    """Sums for each time and 10 km cell; points without a raster value count for their time but not for the sums."""
+    """Sums of population, app counts and the exposure of each, for each time and 10 km cell.
+
+    Points without a raster value are left out first, so a cell that has none else is absent at that time.
+    """
     x, y = conic(lon, lat)
-    has = F.col("pm25").isNotNull()
-    cells = points.withColumn("grid_x", cell_origin(x)).withColumn("grid_y", cell_origin(y))
+    cells = points.where("pm25 is not null").withColumn("grid_x", cell_origin(x)).withColumn("grid_y", cell_origin(y))
     return cells.groupBy(time, "grid_x", "grid_y").agg(
-        F.sum(F.when(has, F.col("estimated_population"))).alias("population"),
-        F.sum(F.when(has, exposure(F.col("estimated_population"), F.col("pm25")))).alias("exposure"),
-        F.avg("pm25").alias("pm25"),
-        F.sum(F.when(has, 0).otherwise(1)).alias("n_without_raster"),
+        F.sum("estimated_population").alias("population"), F.sum("cnt").alias("app_count"),
+        F.sum(exposure(F.col("estimated_population"), F.col("pm25"))).alias("exposure"), F.sum(exposure(F.col("cnt"), F.col("pm25"))).alias("app_exposure"),
     )
 
 
@@ -72,6 +73,7 @@ def hourly_grid(snapshots: DataFrame, values: list[str], time: str = "local_time
 
     The denominator is the weight of all times of the hour, less the times where the cell's own value is null:
     a cell that is absent at a time counts as zero there. times: all observed times, if snapshots lacks some.
+    pm25 is the hour's population-weighted concentration where exposure and population are among the values.
     """
     weights = hour_weights(snapshots if times is None else times, time, cap_minutes)
     quality = hour_quality(weights, time, expected)
@@ -81,7 +83,22 @@ def hourly_grid(snapshots: DataFrame, values: list[str], time: str = "local_time
         sums += [F.sum(F.col(v) * F.col("weight_s")).alias(f"_{v}"), F.sum(F.when(F.col(v).isNull(), F.col("weight_s")).otherwise(0)).alias(f"_{v}_void")]
     grid = joined.groupBy("hour_start", "grid_x", "grid_y").agg(*sums).join(quality, "hour_start")
     means = [ratio(F.col(f"_{v}"), F.col("covered_minutes") * 60 - F.col(f"_{v}_void")).alias(v) for v in values]
-    return grid.select("hour_start", "grid_x", "grid_y", *means, "sample_count", "coverage_ratio", "covered_minutes", "max_gap_minutes", "is_complete_hour", "method")
+    out = grid.select("hour_start", "grid_x", "grid_y", *means, "sample_count", "coverage_ratio", "covered_minutes", "max_gap_minutes", "is_complete_hour", "method")
+    return out.withColumn("pm25", ratio(F.col("exposure"), F.col("population"))) if {"exposure", "population"} <= set(values) else out
+
+
+def covered_hours(hourly: DataFrame, minimum: float = 0.0, include_incomplete: bool = True) -> DataFrame:
+    """Rows of hours with at least this share of their samples, or of complete hours only; a null share is left out."""
+    keep = F.col("coverage_ratio") >= minimum
+    return hourly.where(keep if include_incomplete else keep & F.col("is_complete_hour"))
+
+
+def finite_hours(hourly: DataFrame, values: tuple[str, ...] = ("population", "exposure", "pm25")) -> DataFrame:
+    """Rows whose values are all present and finite."""
+    ok = F.lit(True)
+    for v in values:
+        ok = ok & finite(F.col(v)).isNotNull()
+    return hourly.where(ok)
 
 
 def add_cell_centres(grid: DataFrame) -> DataFrame:
@@ -89,14 +106,18 @@ def add_cell_centres(grid: DataFrame) -> DataFrame:
     return grid.withColumn("grid_id", grid_id("grid_x", "grid_y")).withColumn("grid_lon", lon).withColumn("grid_lat", lat)
 
 
-def daily_grid(hourly: DataFrame) -> DataFrame:
-    """Sums of population and exposure, plain mean of the pollutant, and the day's coverage, for each cell and local date."""
+def daily_grid(hourly: DataFrame, dates: DataFrame) -> DataFrame:
+    """Sums of population and exposure, the mean of the hours' weighted pollutant, and coverage, for each cell and local date.
+
+    dates: local_date, date_coverage and date_is_complete, one row for each date (see times.date_quality).
+    """
     d = hourly.groupBy("grid_x", "grid_y", "local_date").agg(
         F.sum("population").alias("population"), F.sum("exposure").alias("exposure"), F.avg("pm25").alias("pm25"),
         F.countDistinct("local_hour").alias("n_hours"), F.sum(F.col("is_complete_hour").cast("int")).alias("n_complete_hours"),
         F.avg("coverage_ratio").alias("mean_coverage"), F.min("coverage_ratio").alias("min_coverage"), F.sum("covered_minutes").alias("covered_minutes"),
     )
-    return d.withColumn("weighted_pm25", ratio(F.col("exposure"), F.col("population")))
+    weighted = F.when(F.col("population") > 0, F.col("exposure") / F.col("population"))
+    return d.withColumn("weighted_pm25", weighted).join(dates.select("local_date", "date_coverage", "date_is_complete"), "local_date", "left")
 
 
 def period_label(day: Column, periods: list[tuple[str, str, str]], strict: bool = False) -> Column:
@@ -108,14 +129,16 @@ def period_label(day: Column, periods: list[tuple[str, str, str]], strict: bool
 
 
 def period_grid(daily: DataFrame, periods: list[tuple[str, str, str]]) -> DataFrame:
-    """Means over the days present, for each cell and period, and the share of the period's days."""
+    """Means over the days present, for each cell and period, coverage, and whether one of the cell's dates lacks times."""
     labelled = daily.withColumn("period", period_label(F.col("local_date"), periods)).where("period is not null")
     length = F.lit(0)
     for name, start, end in periods:
         length = F.when(F.col("period") == name, F.datediff(F.lit(end), F.lit(start)) + 1).otherwise(length)
     p = labelled.groupBy("grid_x", "grid_y", "period").agg(
         F.avg("population").alias("population"), F.avg("exposure").alias("exposure"), F.avg("pm25").alias("pm25"), F.avg("weighted_pm25").alias("weighted_pm25"),
-        F.countDistinct("local_date").alias("n_days"), F.sum("n_hours").alias("n_hours"), F.min("min_coverage").alias("min_coverage"), F.bool_or(F.col("n_hours") < 24).alias("any_incomplete_day"),
+        F.countDistinct("local_date").alias("n_days"), F.sum("n_hours").alias("n_hours"), F.sum("n_complete_hours").alias("n_complete_hours"),
+        F.avg("mean_coverage").alias("mean_coverage"), F.min("min_coverage").alias("min_coverage"), F.avg("date_coverage").alias("mean_date_coverage"),
+        (~F.bool_and(F.coalesce("date_is_complete", F.lit(False)))).alias("has_incomplete_date"),
     )
     return p.withColumn("day_share", F.col("n_days") / length).withColumn("hour_share", F.col("n_hours") / (length * 24))
 

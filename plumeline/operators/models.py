@@ -12,7 +12,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ratio
+from ..functions.scalar import finite, ratio
 
 
 def metrics(df: DataFrame, observed: str, predicted: str) -> DataFrame:
@@ -75,19 +75,34 @@ def cross_validate(df: DataFrame, stages: list, target: str, folds: int = 5) ->
     return each.unionByName(mean)
 
 
-def dynamic_features(hourly: DataFrame, value: str, least_days: int = 10) -> DataFrame:
-    """For each cell: coefficient of variation of daily means, day to night ratio, mean daily amplitude and its share."""
-    day = hourly.groupBy("grid_id", "local_date").agg(F.avg(value).alias("m"), F.max(value).alias("hi"), F.min(value).alias("lo"), F.countDistinct("local_hour").alias("hours"))
-    amplitude = F.when(F.col("hours") >= 18, F.col("hi") - F.col("lo"))
-    daily = day.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n_days"), F.avg("m").alias("mean"), F.stddev_samp("m").alias("sd"), F.avg(amplitude).alias("mean_amplitude"))
+#: Days that a period's features need at least, and hours that a day does.
+LEAST_DAYS, LEAST_HOURS = {"pre": 10, "festival": 5}, 18
+
+
+def dynamic_features(daily: DataFrame, hourly: DataFrame, value: str, least_days: int) -> DataFrame:
+    """For each cell: variation of daily sums, ratio of day to night hours, and the amplitude within days.
+
+    daily holds the sums of grid_id and local_date, hourly the values of each local_hour. Values that are null,
+    infinite or negative are left out. Null where there is too little: least_days days for the variation, least_days times
+    LEAST_HOURS hours for the ratio, least_days days of LEAST_HOURS hours for both amplitudes; also where the
+    denominator is zero.
+    """
+    known = lambda df: df.withColumn("_v", finite(F.col(value).cast("double"))).where("_v >= 0")
+    days = known(daily).groupBy("grid_id").agg(F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"), F.count("_v").alias("n_days"))
+    hours = known(hourly)
     is_day = F.col("local_hour").between(8, 19)
-    part = hourly.groupBy("grid_id").agg(F.avg(F.when(is_day, F.col(value))).alias("day_mean"), F.avg(F.when(~is_day, F.col(value))).alias("night_mean"), F.count(F.lit(1)).alias("n_hours"))
-    both = daily.join(part, "grid_id", "full_outer")
-    enough = F.col("n_days") >= least_days
+    part = hours.groupBy("grid_id").agg(
+        F.avg(F.when(is_day, F.col("_v"))).alias("day_mean"), F.avg(F.when(~is_day, F.col("_v"))).alias("night_mean"),
+        F.count_if(is_day).alias("day_hours"), F.count_if(~is_day).alias("night_hours"), F.avg("_v").alias("hour_mean"),
+    )
+    within = hours.groupBy("grid_id", "local_date").agg(F.countDistinct("local_hour").alias("hours"), (F.max("_v") - F.min("_v")).alias("amplitude"))
+    swing = within.where(F.col("hours") >= LEAST_HOURS).groupBy("grid_id").agg(F.avg("amplitude").alias("mean_amplitude"), F.countDistinct("local_date").alias("n_hour_days"), F.min("hours").alias("least_hours"))
+    both = days.join(part, "grid_id", "full_outer").join(swing, "grid_id", "left")
+    enough = F.col("n_hour_days") >= least_days
     return both.select(
-        "grid_id", "n_days", F.when(enough, ratio(F.col("sd"), F.col("mean"))).alias("cv"),
-        F.when(enough & (F.col("n_hours") >= F.col("n_days") * 18), ratio(F.col("day_mean"), F.col("night_mean"))).alias("day_night_ratio"),
-        "mean_amplitude", ratio(F.col("mean_amplitude"), F.col("mean")).alias("relative_amplitude"),
+        "grid_id", "n_days", F.when(F.col("n_days") >= least_days, ratio(F.col("sd"), F.col("mean"))).alias("cv"), "day_hours", "night_hours",
+        F.when(F.col("day_hours") + F.col("night_hours") >= least_days * LEAST_HOURS, ratio(F.col("day_mean"), F.col("night_mean"))).alias("day_night_ratio"),
+        "n_hour_days", "least_hours", F.when(enough, F.col("mean_amplitude")).alias("mean_amplitude"), F.when(enough, ratio(F.col("mean_amplitude"), F.col("hour_mean"))).alias("relative_amplitude"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import close, ratio
+from ..functions.scalar import close, day_text, finite, ratio
 
 
 def violations(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -32,15 +32,66 @@ def spatial_gate(points: DataFrame, matched: Column, value: str = "cnt", most: f
 
 
 def anomaly_flags(df: DataFrame, value: str, key: str) -> DataFrame:
-    """median, mad and a flag beyond six scaled MADs; with a MAD of zero, outside a quarter to four times the median."""
+    """Thresholds six scaled MADs from the median (with a MAD of zero, a quarter and four times it), and what lies below or above; the lower is never negative."""
     median = df.agg(F.median(value).alias("median"))
     with_median = df.select(key, value).crossJoin(F.broadcast(median))
     mad = with_median.agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
     # one row each
     both = with_median.crossJoin(F.broadcast(mad))
-    x, m = F.col(value), F.col("median")
-    wide = F.abs(x - m) > 6 * 1.4826 * F.col("mad")
-    return both.withColumn("is_anomaly", F.when(F.col("mad") > 0, wide).otherwise((x < m * 0.25) | (x > m * 4)))
+    m, spread = F.col("median"), 6 * 1.4826 * F.col("mad")
+    low = F.greatest(F.lit(0.0), F.when(F.col("mad") > 0, m - spread).otherwise(m * 0.25))
+    high = F.when(F.col("mad") > 0, m + spread).otherwise(m * 4)
+    marked = both.withColumn("low_threshold", low).withColumn("high_threshold", high)
+    return marked.withColumn("is_low", F.col(value) < F.col("low_threshold")).withColumn("is_high", F.col(value) > F.col("high_threshold"))
+
+
+def hour_checks(hourly: DataFrame) -> DataFrame:
+    """How many rows of an hourly grid break each rule, and how many repeat a key; all zero for a sound grid."""
+    values = [F.col(c) for c in ("population", "exposure", "pm25")]
+    finite_all, positive = F.lit(True), F.lit(True)
+    for v in values:
+        finite_all, positive = finite_all & finite(v).isNotNull(), positive & (v >= 0)
+    quotient = F.col("exposure") / F.when(F.col("population") > 0, F.col("population"))
+    rules = {
+        "time_agrees": (F.hour("hour_start") == F.col("local_hour")) & (day_text(F.col("hour_start")) == F.col("local_date")),
+        "finite": finite_all, "not_negative": positive, "ratio_agrees": F.coalesce(close(F.col("pm25"), quotient), F.lit(True)),
+    }
+    # keys are counted by groups, so that no task holds them all
+    keys = hourly.groupBy("hour_start", "grid_x", "grid_y").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated_keys"))
+    return violations(hourly, rules).crossJoin(F.broadcast(keys))
+
+
+def infinite_counts(df: DataFrame, fields: list[str]) -> DataFrame:
+    """field, n_present and n_infinite (of either sign) of each field."""
+    infinite = lambda c: F.abs(F.col(c).cast("double")) == F.lit(float("inf"))
+    wide = df.agg(*[F.struct(F.count(c).alias("p"), F.count_if(infinite(c)).alias("i")).alias(c) for c in fields])
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{c}.p").alias("n_present"), F.col(f"{c}.i").alias("n_infinite")) for c in fields])).alias("x")).select("x.*")
+
+
+def reconciliation(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """measure, expected, found and agrees, for the columns of two tables of one row each."""
+    names = expected.columns
+    both = expected.select(F.struct("*").alias("a")).crossJoin(F.broadcast(found.select(F.struct(*names).alias("b"))))
+    rows = [F.struct(F.lit(c).alias("measure"), F.col(f"a.{c}").cast("double").alias("expected"), F.col(f"b.{c}").cast("double").alias("found"), F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")).alias("agrees")) for c in names]
+    return both.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def read_back_checks(points: DataFrame, hours: int = 8) -> DataFrame:
+    """How many calibrated points break each rule when they are read again; all zero for sound output."""
+    estimate = F.col("estimated_population")
+    rules = {
+        "local_offset": F.unix_timestamp("local_time") - F.unix_timestamp("utc_time") == hours * 3600,
+        "local_partition": day_text(F.col("local_time")) == F.col("local_date"), "utc_partition": day_text(F.col("utc_time")) == F.col("utc_date"),
+        "count_present": F.col("cnt") >= 0, "estimate_present": estimate.isNotNull(), "estimate_not_negative": F.coalesce(estimate >= 0, F.lit(True)),
+        "region_present": F.col("region").isNotNull(), "zero_stays_zero": F.coalesce((F.col("cnt") != 0) | (estimate == 0), F.lit(True)),
+    }
+    return violations(points, rules)
+
+
+def read_back_totals(points: DataFrame, day: str, region: str) -> DataFrame:
+    """Records, counts and population by day and region, by day, and over all (nulls where a row spans all)."""
+    sums = [F.count(F.lit(1)).alias("records"), F.sum("cnt").alias("app_count"), F.sum("estimated_population").alias("population")]
+    return points.groupingSets([[day, region], [day], []], day, region).agg(*sums)
 
 
 def distribution(df: DataFrame, value: str) -> DataFrame:

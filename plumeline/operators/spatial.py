@@ -175,21 +175,25 @@ def local_moran(lagged: DataFrame, key: str) -> DataFrame:
     return lagged.crossJoin(F.broadcast(total)).select(key, "z", "lag", "n_neighbours", ((F.col("n") - 1) * F.col("z") * F.col("lag") / F.col("zz")).alias("local_i"), quadrant.alias("quadrant"))
 
 
-def _permuter(values: np.ndarray, permutations: int, seed: int) -> Callable:
+def _permuter(values: np.ndarray, most: int, permutations: int, seed: int) -> Callable:
     schema = pa.schema([("k", pa.int64()), ("p_sim", pa.float64())])
     scale = len(values) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zz = float((values**2).sum())
+        # the same draws without replacement for each point, of the others' places
+        rng = np.random.default_rng(seed)
+        drawn = np.array([rng.choice(scale, most, replace=False) for _ in range(permutations)], np.int64).reshape(permutations, most)
         for batch in batches:
             keys, z, degree, observed = (batch.column(i).to_numpy() for i in range(4))
             p = np.ones(len(keys))
-            for i, (k, own, n, seen) in enumerate(zip(keys.tolist(), z.tolist(), degree.tolist(), observed.tolist(), strict=True)):
+            for i, (own, n, seen) in enumerate(zip(z.tolist(), degree.tolist(), observed.tolist(), strict=True)):
                 if not n:
                     continue
-                rng = np.random.default_rng([seed, k & 0x7FFFFFFF])
-                # neighbours drawn from all values; the point's own value is one of many
-                simulated = scale * own * values[rng.integers(0, len(values), (permutations, n))].mean(axis=1) / zz
+                others = drawn[:, :n]
+                # the place of the point's own value is passed over
+                others = others + (others >= np.searchsorted(values, own))
+                simulated = scale * own * values[others].mean(axis=1) / zz
                 larger = int((simulated >= seen).sum())
                 p[i] = (min(larger, permutations - larger) + 1) / (permutations + 1)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(p)], schema=schema)
@@ -198,15 +202,45 @@ def _permuter(values: np.ndarray, permutations: int, seed: int) -> Callable:
 
 
 def local_significance(local: DataFrame, key: str, permutations: int = 999, seed: int = 42) -> DataFrame:
-    """p_sim of each local I by conditional permutation, seeded for each key.
+    """p_sim of each local I by conditional permutation: neighbours are drawn without replacement from all other points' values.
 
-    Tasks draw from all deviations, which they receive whole (8 bytes each).
+    Tasks receive all deviations (8 bytes each); their draws take 8 bytes for each permutation and neighbour of
+    the point that has most. Fewer than three points, or equal values, are an error.
     """
     values = np.sort(local.select(F.col("z").cast("double")).toArrow().column(0).to_numpy())
-    tested = local.select(F.col(key).cast("long").alias("k"), "z", F.col("n_neighbours").cast("long"), "local_i").mapInArrow(_permuter(values, permutations, seed), "k long, p_sim double")
+    if len(values) < 3 or np.isclose(values.std(), 0):
+        raise ValueError("too few points, or all values equal")
+    most = int(local.agg(F.max("n_neighbours")).first()[0] or 0)
+    tested = local.select(F.col(key).cast("long").alias("k"), "z", F.col("n_neighbours").cast("long"), "local_i").mapInArrow(_permuter(values, most, permutations, seed), "k long, p_sim double")
     return local.join(tested, local[key] == tested["k"]).drop("k")
 
 
+def with_no_data(points: DataFrame, clusters: DataFrame, key: str) -> DataFrame:
+    """All points with their cluster; those without a value, which have none, are NoData."""
+    found = clusters.select(F.col(key).alias("_k"), "local_i", "p_sim", "quadrant", "cluster")
+    return points.join(found, points[key] == F.col("_k"), "left").drop("_k").withColumn("cluster", F.coalesce("cluster", F.lit("NoData")))
+
+
+def lookup_join(points: DataFrame, lookup: DataFrame, lat: str, lon: str, domain: tuple[int, int, int, int]) -> DataFrame:
+    """points with in_domain, code and is_inside, from a table of codes for each whole coordinate (lat, lon, code).
+
+    domain: least and largest lat and lon that the table covers; what lies beyond it, or has no code above 0 in it, is outside.
+    """
+    a, b, c, e = domain
+    inside = F.coalesce(F.col(lat).between(a, b) & F.col(lon).between(c, e), F.lit(False))
+    known = lookup.where(F.col(lat).between(a, b) & F.col(lon).between(c, e)).select(lat, lon, "code")
+    out = points.withColumn("in_domain", inside).join(known, [lat, lon], "left")
+    return out.withColumn("is_inside", F.col("in_domain") & F.coalesce(F.col("code") > 0, F.lit(False)))
+
+
+def box_outline(lon_lo: float, lat_lo: float, lon_hi: float, lat_hi: float, samples: int = 161) -> list[tuple[float, float]]:
+    """A closed ring along the edges of a box of longitudes and latitudes, with so many points on each, so that its projection keeps the edges' curves."""
+    x, y = np.linspace(lon_lo, lon_hi, samples), np.linspace(lat_lo, lat_hi, samples)
+    edges = [(x, np.full(samples, lat_lo)), (np.full(samples, lon_hi), y), (x[::-1], np.full(samples, lat_hi)), (np.full(samples, lon_lo), y[::-1])]
+    ring = [edge[k] for edge in ([*zip(p.tolist(), q.tolist(), strict=True)] for p, q in edges) for k in range(samples - 1)]
+    return [*ring, ring[0]]
+
+
 def lisa_clusters(local: DataFrame, level: float = 0.05):
     label = F.element_at(F.array(*[F.lit(q) for q in QUADRANTS]), F.col("quadrant"))
     return local.withColumn("cluster", F.when(F.col("p_sim") < level, label).otherwise("Not significant"))

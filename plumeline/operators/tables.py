@@ -98,11 +98,21 @@ def field_dictionary(df: DataFrame, suffix: str = "_change") -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "name string, type string")
 
 
-# Names of columns that must not be released.
-SENSITIVE = ("user_id", "device_id", "imei", "phone", "raw_file_path", "source_file", "line_no")
+# Columns that must not be released, and words of identifiers that must not.
+SENSITIVE = (
+    "population", "estimated_population", "hourly_population", "official_population_2018", "preliminary_population", "daily_population", "snapshot_population",
+    "app_count", "pre_mean_count", "festival_mean_count", "post_mean_count", "festival_pre_count_change", "post_festival_count_change",
+)
+IDENTIFIED = ("device", "subscriber", "user", "trajectory", "individual", "person")
 
 
-def release_findings(schemas: dict[str, list[str]], sizes: dict[str, int], most_bytes: int = 50_000_000, blocked: tuple[str, ...] = (".nc", ".tif", ".shp", ".pkl")) -> list[tuple[str, str]]:
+def is_sensitive(column: str) -> bool:
+    """Whether a column is listed, or names someone's id or key: one of IDENTIFIED as a word of its own, followed by nothing, id or key."""
+    name = column.lower()
+    return name in SENSITIVE or re.search(rf"(?:^|_)(?:{'|'.join(IDENTIFIED)})_?(?:id|key)?(?:_|$)", name) is not None
+
+
+def release_findings(schemas: dict[str, list[str]], sizes: dict[str, int], most_bytes: int = 50_000_000, blocked: tuple[str, ...] = (".nc", ".tif", ".shp", ".pkl", ".pickle", ".zip", ".7z", ".gz", ".bz2")) -> list[tuple[str, str]]:
     """(file, reason) for each file that is too large, of a blocked kind, or has a sensitive column."""
     out = []
     for name, size in sizes.items():
@@ -110,5 +120,39 @@ def release_findings(schemas: dict[str, list[str]], sizes: dict[str, int], most_
             out.append((name, "too large"))
         if name.lower().endswith(blocked):
             out.append((name, "blocked suffix"))
-        out += [(name, f"sensitive column {c}") for c in schemas.get(name, []) if c.lower() in SENSITIVE or re.search(r"(^|_)(imei|idfa|msisdn)($|_)", c.lower())]
+        out += [(name, f"sensitive column {c}") for c in schemas.get(name, []) if is_sensitive(c)]
     return sorted(out)
+
+
+def legacy_aliases(hourly: DataFrame) -> DataFrame:
+    """The hourly grid with the older names of its columns beside the present ones."""
+    old = {"date": "local_date", "hour": "local_hour", "total_count": "population", "total_exposure": "exposure", "weighted_pm25": "pm25"}
+    return hourly.withColumns({name: F.col(c) for name, c in old.items()})
+
+
+def comparison_of(name: Column) -> Column:
+    """The comparison that a variable's name begins with; other where it is none."""
+    out = F.lit("other")
+    for comparison in ("post_festival", "festival_pre"):
+        out = F.when(name.startswith(f"{comparison}_"), comparison).otherwise(out)
+    return out
+
+
+def scale_exponent(largest: Column) -> Column:
+    """The power of ten to divide labels by: that of the largest absolute value if it is 4 or more either way, else 0."""
+    power = F.floor(F.log10(largest)).cast("int")
+    usable = (largest > 0) & (largest < float("inf"))
+    return F.when(usable & (F.abs(power) >= 4), power).otherwise(0)
+
+
+def union_means(sources: list[DataFrame], key: str) -> DataFrame:
+    """Rows of all sources, columns that one lacks being null, and the mean of each column for each key."""
+    rows = sources[0]
+    for other in sources[1:]:
+        rows = rows.unionByName(other, allowMissingColumns=True)
+    return rows.groupBy(key).agg(*[F.avg(c).alias(c) for c in rows.columns if c != key])
+
+
+def unrecoverable_records(rows: DataFrame) -> DataFrame:
+    """Audited rows whose time can't be recovered, with the decision; without any, an empty table of the same columns."""
+    return rows.where("time_status = 'unrecoverable'").withColumn("is_used", F.lit(False))

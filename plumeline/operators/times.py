@@ -143,6 +143,12 @@ def day_completeness(spark, rows: DataFrame, start: str, end: str, column: str =
     return out.select("day", "expected", "available", (F.col("expected") - F.col("available")).alias("missing"), (F.col("available") / F.col("expected")).alias("coverage_ratio"), "first_time", "last_time", "missing_intervals", (F.col("available") == F.col("expected")).alias("is_complete"))
 
 
+def date_quality(times: DataFrame, column: str = "local_time", expected: int = 288) -> DataFrame:
+    """Each local date's distinct times, their share of those expected, and whether none lacks."""
+    t = times.select(F.col(column).alias("t")).distinct().groupBy(day_text(F.col("t")).alias("local_date")).agg(F.count(F.lit(1)).alias("available"))
+    return t.select("local_date", "available", (F.col("available") / expected).alias("date_coverage"), (F.col("available") == expected).alias("date_is_complete"))
+
+
 def order_inversions(rows: DataFrame, file: str, position: str, column: str) -> DataFrame:
     """How many rows of each file come before the row that precedes them."""
     back = F.col(column) < F.lag(column).over(Window.partitionBy(file).orderBy(position))

@@ -37,8 +37,8 @@ RASTER = """raster AS (SELECT '2024-01-' || lpad(CAST(d.day AS VARCHAR), 2, '0')
         CASE WHEN (a.lat_i + b.lon_i) % 11 <> 0 THEN 20 + ((a.lat_i * 31 + b.lon_i * 17 + d.day * 7) % 100) / 2.0 END AS pm25
     FROM (SELECT unnest(range(0, 57)) AS lat_i) a, (SELECT unnest(range(0, 99)) AS lon_i) b, (SELECT unnest(range(1, 32)) AS day) d)"""
 MATCHED = """near AS (SELECT c.*, c.lat_raw / 100.0 AS lat, c.lon_raw / 100.0 AS lon,
-        CASE WHEN c.lat_raw / 100.0 BETWEEN 17.75 AND 46.25 AND c.lon_raw / 100.0 BETWEEN 77.75 AND 127.25 THEN CAST(least(greatest(ceil((c.lat_raw / 100.0 - 18.0) / 0.5 - 0.5), 0), 56) AS INTEGER) END AS lat_i,
-        CASE WHEN c.lat_raw / 100.0 BETWEEN 17.75 AND 46.25 AND c.lon_raw / 100.0 BETWEEN 77.75 AND 127.25 THEN CAST(least(greatest(ceil((c.lon_raw / 100.0 - 78.0) / 0.5 - 0.5), 0), 98) AS INTEGER) END AS lon_i FROM cal c),
+        CASE WHEN c.lat_raw / 100.0 BETWEEN 18.0 AND 46.0 AND c.lon_raw / 100.0 BETWEEN 78.0 AND 127.0 THEN CAST(least(greatest(ceil((c.lat_raw / 100.0 - 18.0) / 0.5 - 0.5), 0), 56) AS INTEGER) END AS lat_i,
+        CASE WHEN c.lat_raw / 100.0 BETWEEN 18.0 AND 46.0 AND c.lon_raw / 100.0 BETWEEN 78.0 AND 127.0 THEN CAST(least(greatest(ceil((c.lon_raw / 100.0 - 78.0) / 0.5 - 0.5), 0), 98) AS INTEGER) END AS lon_i FROM cal c),
     matched AS (SELECT n.*, r.pm25 FROM near n LEFT JOIN raster r ON n.utc_date = r.utc_date AND n.lat_i = r.lat_i AND n.lon_i = r.lon_i)"""
 
 
@@ -51,29 +51,29 @@ def _conic_sql(lon: str, lat: str) -> tuple[str, str]:
 
 _X, _Y = _conic_sql("lon", "lat")
 SNAPSHOT = f"""cells AS (SELECT *, CAST(floor(({_X}) / 10000) * 10000 AS BIGINT) AS grid_x, CAST(floor(({_Y}) / 10000) * 10000 AS BIGINT) AS grid_y FROM matched),
-    snap AS (SELECT local_time, grid_x, grid_y, sum(CASE WHEN pm25 IS NOT NULL THEN estimated_population END) AS population,
-        sum(CASE WHEN pm25 IS NOT NULL THEN estimated_population * pm25 END) AS exposure, avg(pm25) AS pm25, sum(CASE WHEN pm25 IS NOT NULL THEN 0 ELSE 1 END) AS n_without_raster
-        FROM cells GROUP BY local_time, grid_x, grid_y)"""
-HOURS = """tm AS (SELECT DISTINCT local_time AS t, date_trunc('hour', local_time) AS hour_start FROM snap),
+    snap AS (SELECT local_time, grid_x, grid_y, sum(estimated_population) AS population, CAST(sum(cnt) AS BIGINT) AS app_count, sum(estimated_population * pm25) AS exposure, sum(cnt * pm25) AS app_exposure
+        FROM cells WHERE pm25 IS NOT NULL GROUP BY local_time, grid_x, grid_y)"""
+HOURS = """tm AS (SELECT DISTINCT local_time AS t, date_trunc('hour', local_time) AS hour_start FROM rep),
     td AS (SELECT t, hour_start, epoch(t) AS s, epoch(lead(t) OVER w) AS nx, epoch(lag(t) OVER w) AS pv, epoch(hour_start) AS h0 FROM tm WINDOW w AS (PARTITION BY hour_start ORDER BY t)),
     wt AS (SELECT t AS local_time, hour_start, least(greatest(least(coalesce(nx, h0 + 3600), h0 + 3600) - s, 0), 600) AS weight_s,
         greatest(s - coalesce(pv, h0), CASE WHEN nx IS NULL THEN h0 + 3600 - s ELSE 0 END) AS gap_s FROM td),
     hq AS (SELECT hour_start, count(*) AS sample_count, sum(weight_s) AS covered_s, max(gap_s) AS max_gap_s, count(*) = 12 AS is_complete_hour,
         CASE WHEN count(*) = 12 AND min(weight_s) = 300 AND max(weight_s) = 300 THEN 'arithmetic_mean_regular_complete' ELSE 'time_weighted_forward_duration_capped' END AS method FROM wt GROUP BY hour_start)"""
-HOURLY = """hg AS (SELECT w.hour_start, s.grid_x, s.grid_y,
-        sum(s.population * w.weight_s) / nullif(max(q.covered_s) - sum(CASE WHEN s.population IS NULL THEN w.weight_s ELSE 0 END), 0) AS population,
-        sum(s.exposure * w.weight_s) / nullif(max(q.covered_s) - sum(CASE WHEN s.exposure IS NULL THEN w.weight_s ELSE 0 END), 0) AS exposure,
-        sum(s.pm25 * w.weight_s) / nullif(max(q.covered_s) - sum(CASE WHEN s.pm25 IS NULL THEN w.weight_s ELSE 0 END), 0) AS pm25,
+HOURLY = """hm AS (SELECT w.hour_start, s.grid_x, s.grid_y, sum(s.population * w.weight_s) / nullif(max(q.covered_s) - sum(CASE WHEN s.population IS NULL THEN w.weight_s ELSE 0 END), 0) AS population, sum(s.app_count * w.weight_s) / nullif(max(q.covered_s) - sum(CASE WHEN s.app_count IS NULL THEN w.weight_s ELSE 0 END), 0) AS app_count,
+        sum(s.exposure * w.weight_s) / nullif(max(q.covered_s) - sum(CASE WHEN s.exposure IS NULL THEN w.weight_s ELSE 0 END), 0) AS exposure, sum(s.app_exposure * w.weight_s) / nullif(max(q.covered_s) - sum(CASE WHEN s.app_exposure IS NULL THEN w.weight_s ELSE 0 END), 0) AS app_exposure,
         max(q.sample_count) AS sample_count, max(q.sample_count) / 12.0 AS coverage_ratio, max(q.covered_s) / 60.0 AS covered_minutes, bool_or(q.is_complete_hour) AS is_complete_hour
         FROM snap s JOIN wt w ON s.local_time = w.local_time JOIN hq q ON w.hour_start = q.hour_start GROUP BY w.hour_start, s.grid_x, s.grid_y),
-    hl AS (SELECT *, strftime(hour_start, '%Y-%m-%d') AS local_date, CAST(extract(hour FROM hour_start) AS INTEGER) AS local_hour FROM hg)"""
-DAILY = """dg AS (SELECT grid_x, grid_y, local_date, sum(population) AS population, sum(exposure) AS exposure, avg(pm25) AS pm25, count(DISTINCT local_hour) AS n_hours,
-        sum(CASE WHEN is_complete_hour THEN 1 ELSE 0 END) AS n_complete_hours, min(coverage_ratio) AS min_coverage, sum(covered_minutes) AS covered_minutes,
-        sum(exposure) / nullif(sum(population), 0) AS weighted_pm25 FROM hl GROUP BY grid_x, grid_y, local_date)"""
+    hl AS (SELECT *, exposure / nullif(population, 0) AS pm25, strftime(hour_start, '%Y-%m-%d') AS local_date, CAST(extract(hour FROM hour_start) AS INTEGER) AS local_hour FROM hm)"""
+DATES = """dq AS (SELECT local_date, count(DISTINCT local_time) AS available, count(DISTINCT local_time) / 288.0 AS date_coverage, count(DISTINCT local_time) = 288 AS date_is_complete FROM rep GROUP BY local_date)"""
+DAILY = """dg AS (SELECT h.grid_x, h.grid_y, h.local_date, sum(population) AS population, sum(exposure) AS exposure, avg(pm25) AS pm25, count(DISTINCT local_hour) AS n_hours,
+        sum(CASE WHEN is_complete_hour THEN 1 ELSE 0 END) AS n_complete_hours, avg(coverage_ratio) AS mean_coverage, min(coverage_ratio) AS min_coverage, sum(covered_minutes) AS covered_minutes,
+        CASE WHEN sum(population) > 0 THEN sum(exposure) / sum(population) END AS weighted_pm25, any_value(q.date_coverage) AS date_coverage, any_value(q.date_is_complete) AS date_is_complete
+        FROM hl h JOIN dq q ON h.local_date = q.local_date WHERE population IS NOT NULL AND exposure IS NOT NULL AND pm25 IS NOT NULL GROUP BY h.grid_x, h.grid_y, h.local_date)"""
 PERIOD = """dl AS (SELECT *, CASE WHEN local_date BETWEEN '2024-01-01' AND '2024-01-10' THEN 'pre' WHEN local_date BETWEEN '2024-01-11' AND '2024-01-17' THEN 'festival' WHEN local_date BETWEEN '2024-01-18' AND '2024-01-30' THEN 'post' END AS period FROM dg),
     pg AS (SELECT grid_x, grid_y, period, avg(population) AS population, avg(exposure) AS exposure, avg(pm25) AS pm25, avg(weighted_pm25) AS weighted_pm25, count(DISTINCT local_date) AS n_days, sum(n_hours) AS n_hours,
-        bool_or(n_hours < 24) AS any_incomplete_day, count(DISTINCT local_date) / CASE period WHEN 'pre' THEN 10.0 WHEN 'festival' THEN 7.0 ELSE 13.0 END AS day_share FROM dl WHERE period IS NOT NULL GROUP BY grid_x, grid_y, period)"""
-CHAIN = [OBS, OFFICIAL, SUMS, WEIGHTS, SCALES, CALIBRATED, RASTER, MATCHED, SNAPSHOT, HOURS, HOURLY, DAILY, PERIOD]
+        sum(n_complete_hours) AS n_complete_hours, avg(mean_coverage) AS mean_coverage, min(min_coverage) AS min_coverage, avg(date_coverage) AS mean_date_coverage, NOT bool_and(date_is_complete) AS has_incomplete_date,
+        count(DISTINCT local_date) / CASE period WHEN 'pre' THEN 10.0 WHEN 'festival' THEN 7.0 ELSE 13.0 END AS day_share FROM dl WHERE period IS NOT NULL GROUP BY grid_x, grid_y, period)"""
+CHAIN = [OBS, OFFICIAL, SUMS, WEIGHTS, SCALES, CALIBRATED, RASTER, MATCHED, SNAPSHOT, HOURS, HOURLY, DATES, DAILY, PERIOD]
 LINES = """li AS (SELECT l_suppkey AS grid, s_nationkey AS region, year(l_shipdate) AS y, l_quantity AS q, l_extendedprice / l_quantity AS c FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
     gp AS (SELECT grid, region, sum(CASE WHEN y = 1996 THEN q END) AS p0, avg(CASE WHEN y = 1996 THEN c END) AS c0, sum(CASE WHEN y = 1998 THEN q END) AS p1, avg(CASE WHEN y = 1998 THEN c END) AS c1 FROM li GROUP BY grid, region),
     de AS (SELECT grid, region, p0, c0, p1, c1, c0 * (p1 - p0) AS mobility, p0 * (c1 - c0) AS pollution, (p1 - p0) * (c1 - c0) AS interaction, p1 * c1 - p0 * c0 AS total FROM gp WHERE p0 >= 0 AND c0 > 0 AND p1 >= 0 AND c1 > 0)"""
@@ -128,13 +128,18 @@ def _snapshots(spark, d):
     return exposure.snapshot_grid(_matched(spark, d))
 
 
+def _times(spark, d):
+    return views.repaired(spark, d).select("local_time").distinct()
+
+
 def _hourly(spark, d):
-    h = exposure.hourly_grid(_snapshots(spark, d), ["population", "exposure", "pm25"])
+    # weights and quality come from the observed times alone, not from the points' whole chain
+    h = exposure.hourly_grid(_snapshots(spark, d), ["population", "app_count", "exposure", "app_exposure"], times=_times(spark, d))
     return h.withColumn("local_date", scalar.day_text(F.col("hour_start"))).withColumn("local_hour", F.hour("hour_start"))
 
 
 def _daily(spark, d):
-    return exposure.daily_grid(_hourly(spark, d))
+    return exposure.daily_grid(exposure.finite_hours(_hourly(spark, d)), times.date_quality(_times(spark, d)))
 
 
 def _periods(spark, d):
@@ -330,9 +335,9 @@ def raster_gaps(spark, d):
     return _matched(spark, d).groupBy("local_date", "local_hour").agg(F.count(F.lit(1)).alias("n"), F.count_if(void).alias("n_missing"), F.round(F.sum(F.when(void, F.col("estimated_population")).otherwise(0)), 1).alias("population_missing"))
 
 
-@query("snapshot_grid", _with(SNAPSHOT, "SELECT strftime(local_time, '%Y-%m-%d %H:%M:%S') AS local_time, grid_x, grid_y, round(population, 2) AS population, round(exposure, 1) AS exposure, round(pm25, 6) AS pm25, n_without_raster FROM snap"))
+@query("snapshot_grid", _with(SNAPSHOT, "SELECT strftime(local_time, '%Y-%m-%d %H:%M:%S') AS local_time, grid_x, grid_y, round(population, 2) AS population, app_count, round(exposure, 1) AS exposure, round(app_exposure, 4) AS app_exposure FROM snap"))
 def snapshot_grid(spark, d):
-    return _snapshots(spark, d).select(scalar.time_text(F.col("local_time")).alias("local_time"), "grid_x", "grid_y", _r("population", 2), _r("exposure", 1), _r("pm25", 6), "n_without_raster")
+    return _snapshots(spark, d).select(scalar.time_text(F.col("local_time")).alias("local_time"), "grid_x", "grid_y", _r("population", 2), "app_count", _r("exposure", 1), _r("app_exposure"))
 
 
 @query("hour_weights", _with(HOURS, "SELECT strftime(local_time, '%Y-%m-%d %H:%M:%S') AS local_time, CAST(weight_s AS BIGINT) AS weight_s, CAST(gap_s AS BIGINT) AS gap_s FROM wt"))
@@ -346,28 +351,28 @@ def hour_quality(spark, d):
     return q.select(scalar.time_text(F.col("hour_start")).alias("hour_start"), "sample_count", _r("coverage_ratio", 6), _r("covered_minutes"), _r("max_gap_minutes"), "is_complete_hour", "method")
 
 
-@query("hourly_grid", _with(HOURLY, "SELECT local_date, local_hour, grid_x, grid_y, round(population, 2) AS population, round(exposure, 1) AS exposure, round(pm25, 6) AS pm25, sample_count, is_complete_hour FROM hl"))
+@query("hourly_grid", _with(HOURLY, "SELECT local_date, local_hour, grid_x, grid_y, round(population, 2) AS population, round(app_count, 4) AS app_count, round(exposure, 1) AS exposure, round(app_exposure, 4) AS app_exposure, round(pm25, 6) AS pm25, sample_count, is_complete_hour FROM hl"))
 def hourly_grid(spark, d):
-    return _hourly(spark, d).select("local_date", "local_hour", "grid_x", "grid_y", _r("population", 2), _r("exposure", 1), _r("pm25", 6), "sample_count", "is_complete_hour")
+    return _hourly(spark, d).select("local_date", "local_hour", "grid_x", "grid_y", _r("population", 2), _r("app_count"), _r("exposure", 1), _r("app_exposure"), _r("pm25", 6), "sample_count", "is_complete_hour")
 
 
-@query("daily_grid", _with(DAILY, "SELECT grid_x, grid_y, local_date, round(population, 2) AS population, round(exposure, 1) AS exposure, round(pm25, 6) AS pm25, round(weighted_pm25, 4) AS weighted_pm25, n_hours, n_complete_hours, round(covered_minutes, 3) AS covered_minutes FROM dg"))
+@query("daily_grid", _with(DAILY, "SELECT grid_x, grid_y, local_date, round(population, 2) AS population, round(exposure, 1) AS exposure, round(pm25, 6) AS pm25, round(weighted_pm25, 4) AS weighted_pm25, n_hours, n_complete_hours, round(mean_coverage, 6) AS mean_coverage, round(covered_minutes, 3) AS covered_minutes, round(date_coverage, 6) AS date_coverage, date_is_complete FROM dg"))
 def daily_grid(spark, d):
-    return _daily(spark, d).select("grid_x", "grid_y", "local_date", _r("population", 2), _r("exposure", 1), _r("pm25", 6), _r("weighted_pm25"), "n_hours", "n_complete_hours", _r("covered_minutes", 3))
+    return _daily(spark, d).select("grid_x", "grid_y", "local_date", _r("population", 2), _r("exposure", 1), _r("pm25", 6), _r("weighted_pm25"), "n_hours", "n_complete_hours", _r("mean_coverage", 6), _r("covered_minutes", 3), _r("date_coverage", 6), "date_is_complete")
 
 
-@query("period_grid", _with(PERIOD, "SELECT grid_x, grid_y, period, round(population, 2) AS population, round(exposure, 1) AS exposure, round(pm25, 6) AS pm25, n_days, n_hours, any_incomplete_day, round(day_share, 6) AS day_share FROM pg"))
+@query("period_grid", _with(PERIOD, "SELECT grid_x, grid_y, period, round(population, 2) AS population, round(exposure, 1) AS exposure, round(pm25, 6) AS pm25, n_days, n_hours, n_complete_hours, round(mean_coverage, 6) AS mean_coverage, round(mean_date_coverage, 6) AS mean_date_coverage, has_incomplete_date, round(day_share, 6) AS day_share FROM pg"))
 def period_grid(spark, d):
-    return _periods(spark, d).select("grid_x", "grid_y", "period", _r("population", 2), _r("exposure", 1), _r("pm25", 6), "n_days", "n_hours", "any_incomplete_day", _r("day_share", 6))
+    return _periods(spark, d).select("grid_x", "grid_y", "period", _r("population", 2), _r("exposure", 1), _r("pm25", 6), "n_days", "n_hours", "n_complete_hours", _r("mean_coverage", 6), _r("mean_date_coverage", 6), "has_incomplete_date", _r("day_share", 6))
 
 
 @query("period_changes", _with(PERIOD, """, w AS (SELECT grid_x, grid_y, max(CASE WHEN period = 'pre' THEN population END) AS a, max(CASE WHEN period = 'festival' THEN population END) AS b, max(CASE WHEN period = 'post' THEN population END) AS c, max(CASE WHEN period = 'pre' THEN pm25 END) AS d, max(CASE WHEN period = 'festival' THEN pm25 END) AS e, max(CASE WHEN period = 'post' THEN pm25 END) AS f FROM pg GROUP BY grid_x, grid_y)
-    SELECT grid_x, grid_y, round(b - a, 2) AS festival_pre_population_change, round(c - b, 2) AS post_festival_population_change, round(e - d, 4) AS festival_pre_pm25_change, round(f - e, 4) AS post_festival_pm25_change FROM w"""))
+    SELECT grid_x, grid_y, round(b - a, 2) AS festival_pre_population_change, round(c - b, 2) AS post_festival_population_change, round(e - d, 6) AS festival_pre_pm25_change, round(f - e, 6) AS post_festival_pm25_change FROM w"""))
 def period_changes(spark, d):
     values = ["population", "pm25"]
     wide = exposure.wide_periods(_periods(spark, d), values, ["pre", "festival", "post"])
     out = exposure.changes(wide, values, [("festival_pre", "pre", "festival"), ("post_festival", "festival", "post")])
-    return out.select("grid_x", "grid_y", _r("festival_pre_population_change", 2), _r("post_festival_population_change", 2), _r("festival_pre_pm25_change"), _r("post_festival_pm25_change"))
+    return out.select("grid_x", "grid_y", _r("festival_pre_population_change", 2), _r("post_festival_population_change", 2), _r("festival_pre_pm25_change", 6), _r("post_festival_pm25_change", 6))
 
 
 @query("national_hours", _with(HOURLY, "SELECT local_date, local_hour, round(sum(population), 1) AS population, round(sum(exposure), 0) AS exposure, round(avg(pm25), 6) AS pm25, count(*) AS n_cells, bool_and(is_complete_hour) AS all_complete FROM hl GROUP BY local_date, local_hour"))
@@ -431,10 +436,10 @@ def rule_violations(spark, d):
     return quality.violations(views.observations(spark, d), {"positive": F.col("cnt") > 0, "timed": F.col("time") != "", "in_domain": F.col("lon_raw").between(8000, 12000)})
 
 
-@query("anomaly_flags", _with([OBS, "ds AS (SELECT local_date, CAST(sum(cnt) AS DOUBLE) AS v FROM rep GROUP BY local_date), m AS (SELECT median(v) AS m FROM ds), k AS (SELECT median(abs(ds.v - m.m)) AS mad FROM ds, m)"], "SELECT ds.local_date, ds.v, CASE WHEN k.mad > 0 THEN abs(ds.v - m.m) > 6 * 1.4826 * k.mad ELSE ds.v < m.m * 0.25 OR ds.v > m.m * 4 END AS is_anomaly FROM ds, m, k"))
+@query("anomaly_flags", _with([OBS, "ds AS (SELECT local_date, CAST(sum(cnt) AS DOUBLE) AS v FROM rep GROUP BY local_date), m AS (SELECT median(v) AS m FROM ds), k AS (SELECT median(abs(ds.v - m.m)) AS mad FROM ds, m), t AS (SELECT CASE WHEN mad > 0 THEN greatest(0, m - 6 * 1.4826 * mad) ELSE greatest(0, m * 0.25) END AS low, CASE WHEN mad > 0 THEN m + 6 * 1.4826 * mad ELSE m * 4 END AS high FROM m, k)"], "SELECT ds.local_date, ds.v, round(t.low, 6) AS low_threshold, round(t.high, 6) AS high_threshold, ds.v < t.low AS is_low, ds.v > t.high AS is_high FROM ds, t"))
 def anomaly_flags(spark, d):
     days = views.repaired(spark, d).groupBy("local_date").agg(F.sum("cnt").cast("double").alias("v"))
-    return quality.anomaly_flags(days, "v", "local_date").select("local_date", "v", "is_anomaly")
+    return quality.anomaly_flags(days, "v", "local_date").select("local_date", "v", _r("low_threshold", 6), _r("high_threshold", 6), "is_low", "is_high")
 
 
 @query("scale_distribution", _with(SCALES, "SELECT count(scaling_factor) AS n, round(min(scaling_factor), 6) AS min, round(avg(scaling_factor), 6) AS mean, round(stddev_samp(scaling_factor), 6) AS sd, round(quantile_cont(scaling_factor, 0.01), 6) AS p01, round(quantile_cont(scaling_factor, 0.5), 6) AS p50, round(quantile_cont(scaling_factor, 0.99), 6) AS p99 FROM scales"))
@@ -484,14 +489,8 @@ def duplicate_scan(spark, d):
     return quality.duplicate_scan(views.observations(spark, d), "time", ["lat_raw", "lon_raw"], "cnt")
 
 
-@query("set_agreement", "SELECT value, side FROM (SELECT DISTINCT n_nationkey AS value, 'left' AS side FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey <= 20) UNION ALL SELECT DISTINCT s_nationkey, 'right' FROM supplier WHERE s_suppkey <= 20 AND s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey >= 0)) x")
+@query("set_agreement", "SELECT DISTINCT c_custkey AS value, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL) UNION ALL SELECT DISTINCT user_id, 'right' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
 def set_agreement(spark, d):
-    n = views.table(spark, d, "nation").select(F.col("n_nationkey").alias("k"))
-    return quality.same_sets(n, views.table(spark, d, "supplier").where("s_suppkey <= 20").select(F.col("s_nationkey").alias("k")), "k")
-
-
-@query("set_agreement_all", "SELECT DISTINCT c_custkey AS value, 'left' AS side FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL) UNION ALL SELECT DISTINCT user_id, 'right' FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)")
-def set_agreement_all(spark, d):
     c = views.table(spark, d, "customer").select(F.col("c_custkey").alias("k"))
     return quality.same_sets(c, views.table(spark, d, "events").select(F.col("user_id").alias("k")), "k")
 
@@ -554,14 +553,8 @@ def region_overlap(spark, d):
     return spatial.largest_overlap(outside, "lon", "lat", POLYGONS, 1.0).select("event_id", "overlap_region", "n_overlaps")
 
 
-@query("nearest_region", _with([OBS, "p AS (SELECT event_id, lon_raw / 100.0 AS x, lat_raw / 100.0 AS y FROM obs)"], "SELECT event_id, CASE WHEN x < 100.5 AND x > 79.5 AND y BETWEEN 20 AND 30 THEN CASE WHEN x <= 100 THEN 0 ELSE 1 END END AS nearest_region FROM p WHERE y BETWEEN 21 AND 29 AND x < 100.5"))
+@query("nearest_region")
 def nearest_region(spark, d):
-    o = views.observations(spark, d).select("event_id", (F.col("lon_raw") / 100).alias("x"), (F.col("lat_raw") / 100).alias("y")).where("y between 21 and 29 and x < 100.5")
-    return spatial.nearest_region(o, "x", "y", {k: POLYGONS[k] for k in (0, 1)}, 0.5).select("event_id", "nearest_region")
-
-
-@query("nearest_region_all")
-def nearest_region_all(spark, d):
     o = views.observations(spark, d).select("event_id", (F.col("lon_raw") / 100).alias("x"), (F.col("lat_raw") / 100).alias("y"))
     return spatial.nearest_region(o, "x", "y", POLYGONS, 0.5).select("event_id", "nearest_region", "distance")
 
@@ -609,10 +602,21 @@ def category_counts(spark, d):
 FEATURES = ["c_acctbal", "n_orders", "mean_price"]
 
 
-@query("dynamic_features", _with([OBS, "hv AS (SELECT region AS grid_id, local_date, local_hour, CAST(sum(cnt) AS DOUBLE) AS v FROM rep GROUP BY region, local_date, local_hour), dd AS (SELECT grid_id, local_date, avg(v) AS m, max(v) - min(v) AS a, count(DISTINCT local_hour) AS h FROM hv GROUP BY grid_id, local_date), da AS (SELECT grid_id, count(*) AS n_days, avg(m) AS mean, stddev_samp(m) AS sd, avg(CASE WHEN h >= 18 THEN a END) AS amp FROM dd GROUP BY grid_id), dn AS (SELECT grid_id, avg(CASE WHEN local_hour BETWEEN 8 AND 19 THEN v END) AS dm, avg(CASE WHEN local_hour BETWEEN 8 AND 19 THEN NULL ELSE v END) AS nm, count(*) AS n FROM hv GROUP BY grid_id)"], "SELECT da.grid_id, n_days, round(CASE WHEN n_days >= 10 THEN sd / nullif(mean, 0) END, 8) AS cv, round(CASE WHEN n_days >= 10 AND n >= n_days * 18 THEN dm / nullif(nm, 0) END, 8) AS day_night_ratio, round(amp, 4) AS mean_amplitude FROM da JOIN dn ON da.grid_id = dn.grid_id"))
+@query("dynamic_features", _with([OBS, """hv AS (SELECT region AS grid_id, local_date, local_hour, CAST(sum(cnt) AS DOUBLE) AS v FROM rep GROUP BY region, local_date, local_hour),
+    ds AS (SELECT grid_id, local_date, sum(v) AS s FROM hv GROUP BY grid_id, local_date),
+    ft AS (SELECT grid_id, avg(s) AS mean, stddev_samp(s) AS sd, count(s) AS n_days FROM ds WHERE s >= 0 GROUP BY grid_id),
+    hp AS (SELECT *, local_hour BETWEEN 8 AND 19 AS is_day FROM hv WHERE v >= 0),
+    dn AS (SELECT grid_id, avg(v) FILTER (WHERE is_day) AS dm, avg(v) FILTER (WHERE NOT is_day) AS nm, count(*) FILTER (WHERE is_day) AS dh, count(*) FILTER (WHERE NOT is_day) AS nh, avg(v) AS hm FROM hp GROUP BY grid_id),
+    gd AS (SELECT grid_id, local_date, count(DISTINCT local_hour) AS h, max(v) - min(v) AS a FROM hp GROUP BY grid_id, local_date),
+    am AS (SELECT grid_id, avg(a) AS amp, count(DISTINCT local_date) AS days, min(h) AS least FROM gd WHERE h >= 18 GROUP BY grid_id)"""], """SELECT coalesce(ft.grid_id, dn.grid_id) AS grid_id, ft.n_days, round(CASE WHEN ft.n_days >= 10 THEN ft.sd / nullif(ft.mean, 0) END, 8) AS cv,
+        dn.dh AS day_hours, dn.nh AS night_hours, round(CASE WHEN dn.dh + dn.nh >= 180 THEN dn.dm / nullif(dn.nm, 0) END, 8) AS day_night_ratio, am.days AS n_hour_days, am.least AS least_hours,
+        round(CASE WHEN am.days >= 10 THEN am.amp END, 4) AS mean_amplitude, round(CASE WHEN am.days >= 10 THEN am.amp / nullif(dn.hm, 0) END, 8) AS relative_amplitude
+    FROM ft FULL JOIN dn ON ft.grid_id = dn.grid_id LEFT JOIN am ON am.grid_id = dn.grid_id"""))
 def dynamic_features(spark, d):
     h = views.repaired(spark, d).groupBy(F.col("region").alias("grid_id"), "local_date", "local_hour").agg(F.sum("cnt").cast("double").alias("v"))
-    return models.dynamic_features(h, "v").select("grid_id", "n_days", _r("cv", 8), _r("day_night_ratio", 8), _r("mean_amplitude"))
+    daily = h.groupBy("grid_id", "local_date").agg(F.sum("v").alias("v"))
+    f = models.dynamic_features(daily, h, "v", 10)
+    return f.select("grid_id", "n_days", _r("cv", 8), "day_hours", "night_hours", _r("day_night_ratio", 8), "n_hour_days", "least_hours", _r("mean_amplitude"), _r("relative_amplitude", 8))
 
 
 @query("day_period_pivot", _with(OBS, "SELECT region, round(avg(CASE WHEN local_hour BETWEEN 8 AND 19 THEN cnt END), 6) AS day, round(avg(CASE WHEN local_hour BETWEEN 8 AND 19 THEN NULL ELSE cnt END), 6) AS night FROM rep GROUP BY region"))
@@ -721,3 +725,121 @@ def supported_grid(spark, d):
 @query("shared_keys", "SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier)")
 def shared_keys(spark, d):
     return views.table(spark, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(views.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k")))
+
+
+# ---- gates, checks and small tables ---------------------------------------------------------------
+
+
+@query("hour_rule", _with(HOURS, "SELECT strftime(hour_start, '%Y-%m-%d %H:%M:%S') AS hour_start, sample_count, is_complete_hour FROM hq WHERE sample_count / 12.0 >= 0.75"))
+def hour_rule(spark, d):
+    q = times.hour_quality(times.hour_weights(views.repaired(spark, d)))
+    return exposure.covered_hours(q, 0.75).select(scalar.time_text(F.col("hour_start")).alias("hour_start"), "sample_count", "is_complete_hour")
+
+
+@query("hour_checks", _with(HOURLY, """SELECT CAST(sum(CASE WHEN strftime(hour_start, '%H') <> lpad(CAST(local_hour AS VARCHAR), 2, '0') OR strftime(hour_start, '%Y-%m-%d') <> local_date THEN 1 ELSE 0 END) AS BIGINT) AS time_agrees,
+    CAST(sum(CASE WHEN population IS NULL OR exposure IS NULL OR pm25 IS NULL OR isinf(population) OR isinf(exposure) OR isinf(pm25) THEN 1 ELSE 0 END) AS BIGINT) AS finite,
+    CAST(sum(CASE WHEN population < 0 OR exposure < 0 OR pm25 < 0 OR population IS NULL OR exposure IS NULL OR pm25 IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS not_negative,
+    CAST(sum(CASE WHEN population > 0 AND abs(pm25 - exposure / population) > 1e-10 + 1e-8 * abs(exposure / population) THEN 1 ELSE 0 END) AS BIGINT) AS ratio_agrees,
+    count(*) - count(DISTINCT (hour_start, grid_x, grid_y)) AS repeated_keys FROM hl"""))
+def hour_checks(spark, d):
+    return quality.hour_checks(_hourly(spark, d))
+
+
+@query("infinite_counts", "SELECT 'l_extendedprice' AS field, count(l_extendedprice) AS n_present, CAST(0 AS BIGINT) AS n_infinite FROM lineitem UNION ALL SELECT 'per_discount', count(*), CAST(sum(CASE WHEN l_discount = 0 THEN 1 ELSE 0 END) AS BIGINT) FROM lineitem")
+def infinite_counts(spark, d):
+    li = views.table(spark, d, "lineitem").select(F.col("l_extendedprice").cast("double"), F.when(F.col("l_discount") == 0, F.lit(float("inf"))).otherwise(1 / F.col("l_discount").cast("double")).alias("per_discount"))
+    return quality.infinite_counts(li, ["l_extendedprice", "per_discount"])
+
+
+@query("reconciliation", _with(CALIBRATED, "SELECT 'records' AS measure, CAST((SELECT count(*) FROM rep) AS DOUBLE) AS expected, CAST(count(*) AS DOUBLE) AS found, count(*) = (SELECT count(*) FROM rep) AS agrees FROM cal UNION ALL SELECT 'app_count', CAST((SELECT sum(cnt) FROM rep) AS DOUBLE), CAST(sum(cnt) AS DOUBLE), sum(cnt) = (SELECT sum(cnt) FROM rep) FROM cal"))
+def reconciliation(spark, d):
+    measures = {"records": F.count(F.lit(1)), "app_count": F.sum("cnt")}
+    return quality.reconciliation(views.repaired(spark, d).agg(*[m.alias(c) for c, m in measures.items()]), _calibrated(spark, d).agg(*[m.alias(c) for c, m in measures.items()]))
+
+
+@query("read_back_checks", _with(CALIBRATED, """SELECT CAST(sum(CASE WHEN local_time - utc_time <> INTERVAL 8 HOUR THEN 1 ELSE 0 END) AS BIGINT) AS local_offset, CAST(sum(CASE WHEN strftime(local_time, '%Y-%m-%d') <> local_date THEN 1 ELSE 0 END) AS BIGINT) AS local_partition,
+    CAST(sum(CASE WHEN strftime(utc_time, '%Y-%m-%d') <> utc_date THEN 1 ELSE 0 END) AS BIGINT) AS utc_partition, CAST(sum(CASE WHEN cnt IS NULL OR cnt < 0 THEN 1 ELSE 0 END) AS BIGINT) AS count_present,
+    CAST(sum(CASE WHEN estimated_population IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS estimate_present, CAST(sum(CASE WHEN estimated_population < 0 THEN 1 ELSE 0 END) AS BIGINT) AS estimate_not_negative, CAST(sum(CASE WHEN region IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS region_present,
+    CAST(sum(CASE WHEN cnt = 0 AND estimated_population <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS zero_stays_zero FROM cal"""))
+def read_back_checks(spark, d):
+    return quality.read_back_checks(_calibrated(spark, d))
+
+
+@query("read_back_totals", _with(CALIBRATED, "SELECT local_date, region, count(*) AS records, CAST(sum(cnt) AS BIGINT) AS app_count, round(sum(estimated_population), 1) AS population FROM cal GROUP BY GROUPING SETS ((local_date, region), (local_date), ())"))
+def read_back_totals(spark, d):
+    return quality.read_back_totals(_calibrated(spark, d), "local_date", "region").select("local_date", "region", "records", "app_count", _r("population", 1))
+
+
+@query("category_counts_by_group", "SELECT p.o_orderpriority, s.s AS o_orderstatus, count(o.o_orderkey) AS n, round(count(o.o_orderkey) / sum(count(o.o_orderkey)) OVER (PARTITION BY p.o_orderpriority), 8) AS share FROM (SELECT DISTINCT o_orderpriority FROM orders) p CROSS JOIN (SELECT unnest(['F', 'O', 'P', 'X']) AS s) s LEFT JOIN orders o ON o.o_orderstatus = s.s AND o.o_orderpriority = p.o_orderpriority GROUP BY p.o_orderpriority, s.s")
+def category_counts_by_group(spark, d):
+    o = views.table(spark, d, "orders").select("o_orderpriority", "o_orderstatus")
+    return quality.counts_by_category(o, "o_orderstatus", ["F", "O", "P", "X"], "o_orderpriority").withColumn("share", F.round("share", 8))
+
+
+@query("legacy_aliases", _with(HOURLY, "SELECT local_date AS date, local_hour AS hour, grid_x, grid_y, round(population, 2) AS total_count, round(exposure, 1) AS total_exposure, round(pm25, 6) AS weighted_pm25 FROM hl"))
+def legacy_aliases(spark, d):
+    h = tables.legacy_aliases(_hourly(spark, d))
+    return h.select("date", "hour", "grid_x", "grid_y", _r("total_count", 2), _r("total_exposure", 1), _r("weighted_pm25", 6))
+
+
+@query("comparison_names", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'festival_pre' WHEN p_partkey % 3 = 1 THEN 'post_festival' ELSE 'other' END AS comparison FROM part")
+def comparison_names(spark, d):
+    names = F.element_at(F.array(F.lit("festival_pre_x"), F.lit("post_festival_y"), F.lit("pre_mean_z")), (F.col("p_partkey") % 3 + 1).cast("int"))
+    return views.table(spark, d, "part").select("p_partkey", tables.comparison_of(names).alias("comparison"))
+
+
+@query("scale_exponents", "SELECT o_orderpriority, CASE WHEN max(abs(v)) = 0 OR abs(floor(log10(max(abs(v))))) < 4 THEN 0 ELSE CAST(floor(log10(max(abs(v)))) AS INTEGER) END AS exponent FROM (SELECT o_orderpriority, CAST(o_totalprice AS DOUBLE) * CASE WHEN o_orderpriority LIKE '1%' THEN 0.001 ELSE 1 END AS v FROM orders) x GROUP BY o_orderpriority")
+def scale_exponents(spark, d):
+    v = F.col("o_totalprice").cast("double") * F.when(F.col("o_orderpriority").startswith("1"), 0.001).otherwise(1.0)
+    return views.table(spark, d, "orders").groupBy("o_orderpriority").agg(tables.scale_exponent(F.max(F.abs(v))).alias("exponent"))
+
+
+@query("lookup_join", _with([OBS, "lk AS (SELECT DISTINCT lat_raw, lon_raw, (lat_raw * 7 + lon_raw) % 26 AS code FROM obs WHERE lat_raw BETWEEN 2100 AND 4300)"], """SELECT o.region, count(*) AS records, CAST(sum(CASE WHEN o.lat_raw BETWEEN 2100 AND 4300 AND o.lon_raw BETWEEN 8100 AND 12300 THEN 1 ELSE 0 END) AS BIGINT) AS in_domain,
+    CAST(sum(CASE WHEN o.lat_raw BETWEEN 2100 AND 4300 AND o.lon_raw BETWEEN 8100 AND 12300 AND lk.code > 0 THEN 1 ELSE 0 END) AS BIGINT) AS inside FROM obs o LEFT JOIN lk ON o.lat_raw = lk.lat_raw AND o.lon_raw = lk.lon_raw GROUP BY o.region"""))
+def lookup_join(spark, d):
+    o = views.observations(spark, d)
+    lookup = o.where("lat_raw between 2100 and 4300").select("lat_raw", "lon_raw", ((F.col("lat_raw") * 7 + F.col("lon_raw")) % 26).cast("int").alias("code")).distinct()
+    found = spatial.lookup_join(o, lookup, "lat_raw", "lon_raw", (2100, 4300, 8100, 12300))
+    return found.groupBy("region").agg(F.count(F.lit(1)).alias("records"), F.count_if("in_domain").alias("in_domain"), F.count_if("is_inside").alias("inside"))
+
+
+@query("union_means", "SELECT k, avg(a) AS a, avg(b) AS b FROM (SELECT s_nationkey AS k, CAST(s_acctbal AS DOUBLE) AS a, NULL::DOUBLE AS b FROM supplier UNION ALL SELECT c_nationkey, CAST(c_acctbal AS DOUBLE), CAST(c_custkey AS DOUBLE) FROM customer) x GROUP BY k".replace("avg(a) AS a, avg(b) AS b", "round(avg(a), 4) AS a, round(avg(b), 4) AS b"))
+def union_means(spark, d):
+    s = views.table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"), F.col("s_acctbal").cast("double").alias("a"))
+    c = views.table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_acctbal").cast("double").alias("a"), F.col("c_custkey").cast("double").alias("b"))
+    return tables.union_means([s, c], "k").select("k", _r("a"), _r("b"))
+
+
+@query("unrecoverable_records", _with(OBS, "SELECT source_date, source_file, line_no, cnt, lat_raw, lon_raw, 'unrecoverable' AS time_status, FALSE AS is_used FROM obs WHERE event_id % 97 = 0 AND event_id % 194 <> 0"))
+def unrecoverable_records(spark, d):
+    rows = times.with_audit(views.observations(spark, d).drop("utc_true"), views.blank_time_audit(spark, d))
+    return tables.unrecoverable_records(rows).select("source_date", "source_file", "line_no", "cnt", "lat_raw", "lon_raw", "time_status", "is_used")
+
+
+@query("cell_centres", _with(HOURLY, f"SELECT DISTINCT grid_x, grid_y, CAST(grid_x AS VARCHAR) || '_' || CAST(grid_y AS VARCHAR) AS grid_id FROM hl"))
+def cell_centres(spark, d):
+    return exposure.add_cell_centres(_snapshots(spark, d).select("grid_x", "grid_y").distinct()).select("grid_x", "grid_y", "grid_id")
+
+
+@query("day_period_counts", _with(OBS, "SELECT region, round(avg(cnt) FILTER (WHERE local_hour BETWEEN 8 AND 19), 6) AS day_mean, count(cnt) FILTER (WHERE local_hour BETWEEN 8 AND 19) AS day_n, round(avg(cnt) FILTER (WHERE NOT local_hour BETWEEN 8 AND 19), 6) AS night_mean, count(cnt) FILTER (WHERE NOT local_hour BETWEEN 8 AND 19) AS night_n FROM rep GROUP BY region"))
+def day_period_counts(spark, d):
+    r = views.repaired(spark, d).withColumn("day_period", F.when(F.col("local_hour").between(8, 19), "day").otherwise("night"))
+    return r.groupBy("region").pivot("day_period", ["day", "night"]).agg(F.round(F.avg("cnt"), 6).alias("mean"), F.count("cnt").alias("n"))
+
+
+@query("complete_cases", "SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0")
+def complete_cases(spark, d):
+    p = views.table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 10 != 0, F.col("p_retailprice")).alias("price"))
+    return quality.complete_cases(p, ["price"]).select("p_partkey")
+
+
+@query("seeded_sample")
+def seeded_sample(spark, d):
+    return quality.hashed_sample(views.table(spark, d, "customer").select("c_custkey"), "c_custkey", 100)
+
+
+@query("change_fields", "SELECT * FROM (VALUES ('festival_pre_population_change', 'double'), ('festival_pre_pm25_change', 'double'), ('post_festival_population_change', 'double'), ('post_festival_pm25_change', 'double')) AS t(name, type)")
+def change_fields(spark, d):
+    values = ["population", "pm25"]
+    wide = exposure.wide_periods(_periods(spark, d), values, ["pre", "festival", "post"])
+    return tables.field_dictionary(exposure.changes(wide, values, [("festival_pre", "pre", "festival"), ("post_festival", "festival", "post")]))

@@ -7,7 +7,7 @@ import __spark_entry__
 from plumeline.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ["time_status", "day_completeness", "missing_region_hours", "cadence", "conic_grid", "region_weights", "time_scales", "raster_match", "period_changes", "decomposition", "grouped_totals", "contribution_statistics", "anomaly_flags", "robust_limits", "point_in_polygon", "global_moran", "local_moran", "category_counts", "dynamic_features", "even_sample"]
+CHECKED = ["time_status", "day_completeness", "missing_region_hours", "cadence", "conic_grid", "region_weights", "time_scales", "raster_match", "period_changes", "decomposition", "grouped_totals", "contribution_statistics", "anomaly_flags", "robust_limits", "point_in_polygon", "global_moran", "local_moran", "category_counts", "dynamic_features", "even_sample", "daily_grid", "hour_checks", "reconciliation", "read_back_checks", "read_back_totals", "category_counts_by_group", "scale_exponents", "comparison_names", "lookup_join", "union_means", "unrecoverable_records", "infinite_counts", "complete_cases"]
 
 
 def rows(frame):

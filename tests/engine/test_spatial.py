@@ -38,7 +38,7 @@ def agrees(r, region, distance):
 
 def test_nearest_region_of_all_observations_by_brute_force(spark):
     points = {r.event_id: (r.lon_raw / 100, r.lat_raw / 100) for r in views.observations(spark, SF).collect()}
-    got = plans.QUERIES["nearest_region_all"](spark, SF).collect()
+    got = plans.QUERIES["nearest_region"](spark, SF).collect()
     assert sorted(r.event_id for r in got) == sorted(points)
     assert all(agrees(r, *expected(*points[r.event_id])[:2]) for r in got)
     assert {r.nearest_region for r in got} == {None, 0, 1, 2, 3}
@@ -104,8 +104,32 @@ def test_local_significance_draws_from_all_values(spark):
     values = np.array([r.z for r in rows])
     got = {r.key: r.p_sim for r in spatial.local_significance(local, "key").where("n_neighbours > 0").collect()}
     assert len(got) == 30
+    draw = np.random.default_rng(42)
+    others = np.array([draw.choice(len(values) - 1, 5, replace=False) for _ in range(999)])
+    assert all(len(set(x)) == 5 for x in others.tolist())
     for r in rows:
         if r.n_neighbours:
-            drawn = values[np.random.default_rng([42, r.key]).integers(0, len(values), (999, 5))]
-            larger = int(((len(values) - 1) * r.z * drawn.mean(axis=1) / (values**2).sum() >= r.local_i).sum())
+            left = np.delete(values, np.searchsorted(values, r.z))
+            larger = int(((len(values) - 1) * r.z * left[others].mean(axis=1) / (values**2).sum() >= r.local_i).sum())
             assert got[r.key] == (min(larger, 999 - larger) + 1) / 1000
+
+
+def test_all_other_points_as_neighbours_leave_one_draw(spark):
+    # each of four points has the three others around it, so every permutation gives the observed value
+    z = [-3.0, -1.0, 1.0, 3.0]
+    rows = [(i, v, 3, 3 * v * (sum(z) - v) / 3 / sum(x * x for x in z)) for i, v in enumerate(z)]
+    local = spark.createDataFrame(rows, "key long, z double, n_neighbours long, local_i double")
+    assert {r.p_sim for r in spatial.local_significance(local, "key", 99).collect()} == {0.01}
+    with pytest.raises(ValueError, match="equal"):
+        spatial.local_significance(local.withColumn("z", F.lit(0.0)), "key", 99)
+
+
+def test_points_without_a_value_are_no_data(spark):
+    points = spark.createDataFrame([(1, 2.0), (2, None)], "key long, v double")
+    found = spark.createDataFrame([(1, 0.5, 0.01, 1, "HH")], "key long, local_i double, p_sim double, quadrant int, cluster string")
+    assert {r.key: r.cluster for r in spatial.with_no_data(points, found, "key").collect()} == {1: "HH", 2: "NoData"}
+
+
+def test_box_outline():
+    ring = spatial.box_outline(0.0, 10.0, 4.0, 30.0, 3)
+    assert ring == [(0, 10), (2, 10), (4, 10), (4, 20), (4, 30), (2, 30), (0, 30), (0, 20), (0, 10)]
