@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 #: Bytes of text that one numpy pass handles; it bounds a worker's memory, not what is processed.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -47,12 +47,13 @@ def duplicate_table(docs: DataFrame, hashed=content_hash) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame, hashed=content_hash) -> DataFrame:
-    """The row with the smallest doc_id of each group of equal texts, with all its columns; texts move once."""
+    """The row with the smallest doc_id of each group of equal texts, with all its columns; of rows that repeat an id, the one with the least hash of all columns."""
     names = docs.columns
     whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     held = docs.select(
         normalised().alias("body"),
-        F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id")).alias("rank"),
+        # rows that repeat an id are told apart by all their columns, so that the same one stays in each run
+        F.struct(F.col("doc_id").isNull().alias("absent"), F.col("doc_id").alias("id"), F.xxhash64(*[f"`{c}`" for c in names]).alias("all")).alias("rank"),
         whole.alias("row"),
     ).withColumn("hash", hashed(F.col("body")))
     best = held.groupBy("hash", "body").agg(F.min_by("row", "rank").alias("row"))

@@ -5,6 +5,7 @@ embedded, filters of several widths slide over them, each filter keeps its large
 softmax gives the languages' probabilities; a text's probabilities are the mean over its windows,
 weighted by their bytes. A network of a few thousand numbers is all that tasks receive.
 
+The MOST_LABELS languages with the most labelled texts are learnt (ties by name); texts of others get one of those.
 Training takes windows, spread over whole texts, from a sample of about SAMPLE_A_LABEL labelled documents
 for each language, chosen by a hash of the id; prediction uses the text alone.
 
@@ -213,7 +214,7 @@ def _filterer(net: ByteCnn | None, least: float, text_at: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, readable = batch.select(batch.schema.names[:-1]), batch.column(batch.num_columns - 1)
+            own, readable = pa.RecordBatch.from_struct_array(batch.column(0)), batch.column(1)
             none = pa.nulls(len(own), pa.int64())
             asked = pa.RecordBatch.from_arrays([none, readable, readable, own.column(text_at)], names=["doc_id", "held_out", "readable", "text"])
             for found in predict_rows(iter([asked])):
@@ -227,5 +228,6 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     """The rows, with all their columns, whose language the network names with at least this score."""
     labelled = docs.where(~held_out()).select("doc_id", "text", F.col("lang").alias("label"))
     net = fit(labelled)
-    asked = docs.select("*", text_or_empty().rlike(r"\p{L}").alias("_readable"))
+    # the rows' own columns stay in a struct, so none of their names can clash
+    asked = docs.select(F.struct("*").alias("row"), text_or_empty().rlike(r"\p{L}").alias("readable"))
     return asked.mapInArrow(trimmed(_filterer(net, least, docs.columns.index("text"))), docs.schema)

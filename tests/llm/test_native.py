@@ -61,3 +61,12 @@ def test_slot_map_versions(spark, tmp_path):
         m.save(spark, str(tmp_path / "map"))
     assert sharding.SlotMap.load(spark, str(tmp_path / "map")) == third
     assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1).owners == second.owners
+
+
+def test_repeated_ids_leave_the_same_row_in_any_order(spark):
+    from plumeline.llm.exact_dedup import drop_exact_duplicates
+
+    rows = [(1, "a b", i) for i in range(20)] + [(2, "a  b", 50)]
+    schema = "doc_id long, text string, body int"
+    got = {tuple(tuple(r) for r in drop_exact_duplicates(spark.createDataFrame(x, schema).repartition(n)).collect()) for x, n in ((rows, 1), (rows[::-1], 3), (rows[7:] + rows[:7], 5))}
+    assert len(got) == 1
