@@ -1,7 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes what its predecessor kept and returns a DataFrame, which is written as Parquet and read
-again for the next one. All but the last return the columns of documents.
+again for the next one. All but the last return the columns of documents, whatever further columns there are
+and whatever their names. An empty table passes through all stages.
 """
 
 from __future__ import annotations
@@ -14,27 +15,27 @@ from plumeline.llm.tokenization import tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which the network finds a language; those without a letter go."""
+    """Documents in which the network finds a language; null, empty and letterless texts go, a null doc_id or lang stays."""
     return language_id.keep_identified(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of equal texts."""
+    """The document with the smallest id of each group of equal texts; a null id only where all are, one row of those that repeat an id."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 80 % of its five-word shingles."""
+    """One document, that with the smallest id, of each group linked by 80 % of the five-word shingles; rows without an id or without words stay."""
     return near_dedup.drop_near_duplicates(docs, width=5, percent=80)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, and an empty benchmark drops nothing."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining documents, placed in sequences of 1024 tokens."""
+    """Pieces of the remaining documents, placed in sequences of 1024 tokens; rows that repeat are packed once each."""
     return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), special_ids=True)
 
 
@@ -46,7 +47,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Several stages have no SQL; tests compare each with a brute-force version.
+#: Several stages have no SQL. Tests compare exact copies with a plain loop and near copies with all pairs; the others have tests of their operators.
 ORACLE_SQL = None
 
 
