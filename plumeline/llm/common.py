@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -55,6 +56,16 @@ def cut_counted(df: DataFrame, **sums) -> tuple[DataFrame, dict[str, int]]:
     return done.coalesce(got["n"] // SMALL + 1), got
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, Python's first.
+
+    Only then does Spark delete the shuffle files, broadcasts and checkpoints of tables that nothing refers to
+    any more, and the driver's heap shrinks to what is in use. For operators of many jobs, between their steps.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -44,7 +44,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, CHUNK_BYTES, chunks, cut, cut_counted, membership, mix64, text_or_empty, to_buffer, trimmed, with_membership, words
+from .common import _SPACE, CHUNK_BYTES, chunks, cut, cut_counted, membership, mix64, release, text_or_empty, to_buffer, trimmed, with_membership, words
 from .components import components
 
 #: Minima, bands of ROWS minima each, and bits kept of each minimum.
@@ -414,17 +414,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     crowded = crowd.where("size > 2").select("bucket", "size", "cid")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("cid")).unionByName(crowded.select("cid")).distinct()
     texts = cut(_texts_of(docs, wanted, classes))
+    release(docs.sparkSession)
     label = components(_confirmed(pairs, texts, width, percent)).select(F.col("node").alias("cid"), "component")
+    del pairs, wanted
+    release(docs.sparkSession)
 
     mixed, seen = cut_counted(_relabelled(crowded, label))
     if seen["n"]:
         centred = cut(_against_centre(_with_centres(mixed), texts, width))
         linked = F.col("shared") * 100 >= (F.col("n") + F.col("m") - F.col("shared")) * percent
         label = _extended(label, centred.where(linked).select(F.col("cid").alias("u"), F.col("centre").alias("v")))
+        release(docs.sparkSession)
         more = _still_open(centred, label, classes, percent)
         more, seen = cut_counted(more.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        release(docs.sparkSession)
         if seen["n"]:
             label = _extended(label, _confirmed(more, texts, width, percent))
+    del crowd, crowded, mixed, texts
+    release(docs.sparkSession)
     placed = classes.select("cid", "fp_hi", "fp_lo", "rep_id").join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = placed.groupBy("component").agg(F.min("rep_id").alias("component_id"))
     named = cut(placed.join(least, "component").select("fp_hi", "fp_lo", "component_id"))
