@@ -435,6 +435,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = classes.select("cid", "fp_hi", "fp_lo", "rep_id").join(label, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = placed.groupBy("component").agg(F.min("rep_id").alias("component_id"))
     named = cut(placed.join(least, "component").select("fp_hi", "fp_lo", "component_id"))
+    del placed, least, label, classes
+    release(docs.sparkSession)
     out = found.select("doc_id", "n", "fp_hi", "fp_lo").join(named, ["fp_hi", "fp_lo"], "left")
     component_id = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
@@ -443,6 +445,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents that represent their component, with all their columns; rows without an id stay."""
     drop = cut(near_duplicates(docs, width, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("dropped_id")).distinct())
+    release(docs.sparkSession)
     # the documents' own columns stay in a struct, so none of their names can clash
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("asked"))
     marked = with_membership(rows, "asked", membership(drop, "dropped_id"))
