@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import chunks, to_buffer, trimmed
 from .tokenization import encoder
 
 WINDOW = 1024
@@ -92,27 +92,26 @@ def _packer(path: str, end_id: int, window: int, block: int, with_ids: bool, spe
         # each task numbers its sequences in a range of its own
         following = TaskContext.get().partitionId() << 36
         held: list[tuple] = []
-        rest = 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids, counts = encoder(path, special_ids).encode([t or "" for t in texts])
-            ends = np.cumsum(counts)
-            doc_ids = batch.column(0).to_pylist()
-            full: list[tuple] = []
-            for i, doc_id in enumerate(doc_ids):
-                own = np.append(ids[ends[i] - counts[i] : ends[i]], np.uint32(end_id)).astype("<u4")
-                n = len(own)
-                for start in range(0, n, window):
-                    piece = own[start : start + window]
-                    row = (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), n, piece if with_ids else None)
-                    if len(piece) == window:
-                        full.append((row, following, 0))
-                        following += 1
-                    else:
-                        held.append(row)
-                        rest += 1
-            if full:
-                yield _rows(full, schema)
+            # some texts at a time: the ids of a whole batch would take several times its size
+            for a, b in chunks(to_buffer(batch.column(1))[1]):
+                some = batch.slice(a, b - a)
+                ids, counts = encoder(path, special_ids).encode([t or "" for t in some.column(1).to_pylist()])
+                ends = np.cumsum(counts)
+                full: list[tuple] = []
+                for i, doc_id in enumerate(some.column(0).to_pylist()):
+                    own = np.append(ids[ends[i] - counts[i] : ends[i]], np.uint32(end_id)).astype("<u4")
+                    n = len(own)
+                    for start in range(0, n, window):
+                        piece = own[start : start + window]
+                        row = (doc_id, start, len(piece), zlib.crc32(piece.tobytes()), n, piece if with_ids else None)
+                        if len(piece) == window:
+                            full.append((row, following, 0))
+                            following += 1
+                        else:
+                            held.append(row)
+                if full:
+                    yield _rows(full, schema)
             if len(held) >= block:
                 placed, following = _place(held, window, following)
                 yield from (_rows(placed[k : k + 20_000], schema) for k in range(0, len(placed), 20_000))
