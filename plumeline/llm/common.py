@@ -133,6 +133,22 @@ def trimmed(run):
     return whole
 
 
+#: Bytes of an Arrow batch; one longer row is a batch of its own.
+BATCH_BYTES = 4_000_000
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow of run, trimmed, in batches that are bounded in bytes.
+
+    Spark alone counts a batch's rows, and 10,000 texts take tens of megabytes several times over, outside the
+    heap of the executor as well as in its workers. The bound is a setting of the session; one set there already stays.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, BATCH_BYTES)
+    return df.mapInArrow(trimmed(run), schema)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, text_or_empty, to_buffer, trimmed
+from .common import chunks, give_back, in_batches, text_or_empty, to_buffer
 
 UNKNOWN = "und"
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 12
@@ -156,7 +156,7 @@ def fit(labelled: DataFrame, sample_a_label: int = SAMPLE_A_LABEL) -> ByteCnn |
         share = F.when(F.col("label") == label, F.lit(int(1e6 * min(1, sample_a_label / n)))).otherwise(share)
     picked = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < share).select("label", "text")
     # no more than the sample can hold if many rows repeat one id
-    rows = picked.mapInArrow(trimmed(_window_sampler), "label string, window binary").limit(4 * WINDOWS_A_TEXT * sample_a_label * len(counts)).collect()
+    rows = in_batches(picked, _window_sampler, "label string, window binary").limit(4 * WINDOWS_A_TEXT * sample_a_label * len(counts)).collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.label, bytes(r.window)))
@@ -200,7 +200,7 @@ def _predictor(net: ByteCnn | None) -> Callable:
 def predict(docs: DataFrame, net: ByteCnn | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), text_or_empty().rlike(r"\p{L}").alias("readable"), text_or_empty().alias("text"))
-    return rows.mapInArrow(trimmed(_predictor(net)), "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_batches(rows, _predictor(net), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -230,4 +230,4 @@ def keep_identified(docs: DataFrame, least: float = 0.3) -> DataFrame:
     net = fit(labelled)
     # the rows' own columns stay in a struct, so none of their names can clash
     asked = docs.select(F.struct("*").alias("row"), text_or_empty().rlike(r"\p{L}").alias("readable"))
-    return asked.mapInArrow(trimmed(_filterer(net, least, docs.columns.index("text"))), docs.schema)
+    return in_batches(asked, _filterer(net, least, docs.columns.index("text")), docs.schema)

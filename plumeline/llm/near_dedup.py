@@ -44,7 +44,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _SPACE, CHUNK_BYTES, chunks, cut, cut_counted, membership, mix64, release, text_or_empty, to_buffer, trimmed, with_membership, words
+from .common import _SPACE, CHUNK_BYTES, chunks, cut, cut_counted, in_batches, membership, mix64, release, text_or_empty, to_buffer, with_membership, words
 from .components import components
 
 #: Minima, bands of ROWS minima each, and bits kept of each minimum.
@@ -159,7 +159,7 @@ def _featurer(width: int) -> Callable:
 
 def features(docs: DataFrame, width: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
-    return rows.mapInArrow(trimmed(_featurer(width)), _FEATURE_SCHEMA)
+    return in_batches(rows, _featurer(width), _FEATURE_SCHEMA)
 
 
 def estimated(x: str, y: str) -> Column:
@@ -253,7 +253,7 @@ def _beyond(width: int) -> Callable:
 
 def _against_centre(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     """For pairs (u, v): u as cid, v as centre, their sizes n and m, how many shingles they share, and those that u has beyond v."""
-    return _with_texts(pairs, texts).mapInArrow(trimmed(_beyond(width)), _CENTRED)
+    return in_batches(_with_texts(pairs, texts), _beyond(width), _CENTRED)
 
 
 #: Places of the table that counts shingles beyond centres; its size is fixed.
@@ -360,7 +360,7 @@ def _still_open(centred: DataFrame, label: DataFrame, classes: DataFrame, percen
     # with something in common beyond the centre: x and y meet by what is rare. If both are outside the centre's
     # component and only x is smaller than it, they meet with the roles exchanged
     table = centred.sparkSession.sparkContext.broadcast(_rarity(centred))
-    rare = cut_counted(around.mapInArrow(trimmed(_rarest(table, percent)), _RARE))[0]
+    rare = cut_counted(in_batches(around, _rarest(table, percent), _RARE))[0]
     table.unpersist()
     met = rare.groupBy("centre", "extra").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("centre", "extra")
     rare = rare.join(met, ["centre", "extra"])
@@ -391,7 +391,7 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    return _with_texts(pairs, texts).mapInArrow(trimmed(_confirmer(width, percent)), "u long, v long")
+    return in_batches(_with_texts(pairs, texts), _confirmer(width, percent), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

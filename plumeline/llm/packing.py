@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, to_buffer, trimmed
+from .common import chunks, in_batches, to_buffer
 from .tokenization import encoder
 
 WINDOW = 1024
@@ -139,7 +139,7 @@ def _rows(placed: list, schema: pa.Schema) -> pa.RecordBatch:
 def pack(docs: DataFrame, tokenizer_file: str, end_id: int = 0, window: int = WINDOW, block: int = BLOCK, with_ids: bool = False, special_ids: bool = False) -> DataFrame:
     """One row per piece of a document, with its place; with_ids adds the piece's ids themselves; special_ids as in Encoder."""
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    return kept.mapInArrow(trimmed(_packer(tokenizer_file, end_id, window, block, with_ids, special_ids)), SCHEMA + ", ids array<int>" * with_ids)
+    return in_batches(kept, _packer(tokenizer_file, end_id, window, block, with_ids, special_ids), SCHEMA + ", ids array<int>" * with_ids)
 
 
 def sequences(pieces: DataFrame, window: int = WINDOW, pad_id: int = 0) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import in_batches, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE = KINDS[:4]
@@ -186,7 +186,7 @@ def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find(docs: DataFrame) -> DataFrame:
     """One row per document: counts of the base kinds, the digest of their spans, all spans, and the highest score."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_finder, _SCHEMA)
+    return in_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")), _finder, _SCHEMA)
 
 
 def redacted(text: str, least: float = 0.0) -> str:
@@ -211,4 +211,4 @@ def redact(docs: DataFrame, least: float = 0.0) -> DataFrame:
             texts = [None if t is None else redacted(t, least) for t in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, type=batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, trimmed
+from .common import in_batches, text_or_empty
 from .tokenization import encoder
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -44,7 +44,7 @@ def _counter(path: str, special_ids: bool) -> Callable:
 def count_tokens(docs: DataFrame, tokenizer_file: str, version: str, special_ids: bool = False) -> DataFrame:
     """doc_id, source, lang, tokenizer and tokens of each document; special_ids as in Encoder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), text_or_empty().alias("text"))
-    return rows.mapInArrow(trimmed(_counter(tokenizer_file, special_ids)), _SCHEMA).withColumn("tokenizer", F.lit(version))
+    return in_batches(rows, _counter(tokenizer_file, special_ids), _SCHEMA).withColumn("tokenizer", F.lit(version))
 
 
 def _signed(counted: DataFrame, sign: int) -> DataFrame:

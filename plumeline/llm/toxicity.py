@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, give_back, mix64, span_hashes, text_or_empty, to_buffer, trimmed
+from .common import chunks, give_back, in_batches, mix64, span_hashes, text_or_empty, to_buffer
 from .language_id import held_out
 
 #: Labelled documents of each class that training reads at most, and characters of each at most (longer ones are not learnt from).
@@ -357,7 +357,7 @@ def _scorer(field: ToxicField | float) -> Callable:
 def score(docs: DataFrame, field: ToxicField | float) -> DataFrame:
     """doc_id, held_out, score, predicted, the expected number of toxic tokens, and their spans (start:end in code points)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(modulus=4, remainder=2).alias("held_out"), text_or_empty().alias("text"))
-    return rows.mapInArrow(trimmed(_scorer(field)), _SCHEMA)
+    return in_batches(rows, _scorer(field), _SCHEMA)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
