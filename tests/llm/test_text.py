@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark import cloudpickle
 
 from plumeline.llm import common, decontaminate, language_id, near_dedup, pii, toxicity
@@ -162,3 +163,14 @@ def test_contamination(spark):
     assert {r.doc_id for r in kept.collect() if r.doc_id is not None and r.doc_id < 300} == set(range(300)) - {d for d, _ in got}
     assert decontaminate.find_contamination(df, bench.limit(0)).collect() == []
     assert decontaminate.find_contamination(df.limit(0), bench).collect() == []
+
+
+def test_batches_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    rows = spark.range(0, 2_000, 1, 1).selectExpr("CASE WHEN id = 7 THEN repeat('y', 9000000) ELSE repeat('x', 10000) END AS text")
+    seen = common.in_batches(rows, sizes, "n long, size long").collect()
+    assert sum(r.n for r in seen) == 2_000 and len(seen) >= 6
+    assert sorted(r["size"] for r in seen)[-2] < 2 * common.BATCH_BYTES
