@@ -93,6 +93,17 @@ def test_permutation_test_beyond_five_million_edges(spark):
     assert same_test(r, by_hand(value - value.mean(), pairs, 9))
 
 
+def test_distance_band_of_very_many_pairs(spark):
+    # each of 60,000 points has some 1,400 others around it: 84 million pairs
+    points = spark.range(60_000).select(F.col("id").alias("key"), (F.col("id") % 250).cast("double").alias("x"), F.floor(F.col("id") / 250).cast("double").alias("y"))
+    found = spatial.band_sums(points, "key", "x", "y", 22.0, ["key"])
+    circle = [(i, j) for i in range(-22, 23) for j in range(-22, 23) if i * i + j * j <= 484 and (i or j)]
+    whole = found.where("n = " + str(len(circle)))
+    # inside, neighbours lie around the point evenly
+    assert whole.count() == (250 - 44) * (240 - 44) and whole.where("key != src * n").count() == 0
+    assert found.agg(F.sum("n")).first()[0] == sum((250 - abs(i)) * (240 - abs(j)) for i, j in circle)
+
+
 def test_local_significance_draws_from_all_values(spark):
     # 120,000 skewed values, of which thirty have neighbours
     z = F.when(F.col("id") % 1000 == 7, F.col("id") / 10.0).otherwise(-(F.col("id") % 13) / 10.0)
