@@ -93,6 +93,26 @@ def test_permutation_test_beyond_five_million_edges(spark):
     assert same_test(r, by_hand(value - value.mean(), pairs, 9))
 
 
+def maps():
+    """Points by chance, on a lattice with many to a place, at distances of exactly the radius, on a line and at one place; some keys repeat."""
+    rng = np.random.default_rng(3)
+    for xy, radius in ((rng.uniform(-3, 7, (1500, 2)), 0.37), (rng.integers(0, 40, (2000, 2)), 7.0), (np.round(rng.normal(0, 1, (1500, 2)), 1), 0.5), (np.c_[rng.uniform(0, 9, 900), np.zeros(900)], 0.3), (np.ones((200, 2)), 1.0)):
+        yield [(i % (len(xy) - 5), float(x), float(y), float(v)) for i, ((x, y), v) in enumerate(zip(xy, rng.exponential(size=len(xy)), strict=True))], radius
+
+
+def test_band_sums_are_those_of_all_pairs(spark, monkeypatch):
+    for rows, radius in maps():
+        monkeypatch.setattr(spatial, "PLACES", 300 if radius == 0.37 else 1_000_000)
+        points = spark.createDataFrame([*rows, (-1, None, 0.0, 1.0), (-2, math.nan, 0.0, 1.0)], "key long, x double, y double, v double")
+        edges = spatial.distance_band(points, "key", "x", "y", radius)
+        want = {r.src: (r.n, r.s) for r in edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.sum("dst").alias("s")).collect()}
+        assert {r.src: (r.n, r.key) for r in spatial.band_sums(points, "key", "x", "y", radius, ["key"]).collect()} == want
+        one = sorted(spatial.spatial_lag(points, edges, "key", "v").collect())
+        two = sorted(spatial.band_lag(points, "key", "x", "y", radius, "v").collect())
+        assert [(r.key, r.n_neighbours) for r in one] == [(r.key, r.n_neighbours) for r in two]
+        assert np.allclose([(r.z, r.lag) for r in one], [(r.z, r.lag) for r in two], rtol=0, atol=1e-9)
+
+
 def test_distance_band_of_very_many_pairs(spark):
     # each of 60,000 points has some 1,400 others around it: 84 million pairs
     points = spark.range(60_000).select(F.col("id").alias("key"), (F.col("id") % 250).cast("double").alias("x"), F.floor(F.col("id") / 250).cast("double").alias("y"))
