@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -124,6 +125,34 @@ def test_distance_band_of_very_many_pairs(spark):
     assert found.agg(F.sum("n")).first()[0] == sum((250 - abs(i)) * (240 - abs(j)) for i, j in circle)
 
 
+def test_local_significance_with_and_without_bounds(spark, monkeypatch):
+    """All p by the draws themselves: ties, zeros, an outlier, equal and different numbers of neighbours, draws in several blocks."""
+    monkeypatch.setattr(spatial, "DRAWS", 500)
+    rng = np.random.default_rng(9)
+    z = np.round(rng.normal(size=300), 1)
+    z[0] = 40.0
+    degree = rng.integers(0, 30, 300)
+    lag = np.where(degree > 0, [rng.choice(z, max(1, d)).mean() for d in degree], 0.0)
+    zz, values = float((z**2).sum()), np.sort(z)
+    local = [(i, float(a), int(d), float(299 * a * b / zz)) for i, (a, d, b) in enumerate(zip(z, degree, lag, strict=True))]
+    got = {r.key: r.p_sim for r in spatial.local_significance(spark.createDataFrame(local, "key long, z double, n_neighbours long, local_i double"), "key", 199).collect()}
+    draw = np.random.default_rng(42)
+    drawn = np.array([draw.choice(299, degree.max(), replace=False) for _ in range(199)])
+    assert len(got) == 300
+    for key, own, n, seen in local:
+        others = drawn[:, :n]
+        larger = int((299 * own * values[others + (others >= np.searchsorted(values, own))].mean(axis=1) / zz >= seen).sum()) if n else 0
+        assert got[key] == ((min(larger, 199 - larger) + 1) / 200 if n else 1.0)
+
+
+def test_local_significance_of_many_neighbours(spark):
+    # 40,000 points of 600 neighbours each: 24 billion values, were all drawn one by one
+    local = spark.range(40_000).select(F.col("id").alias("key"), ((F.col("id") * 7919 % 40_009) / 1000.0 - 20).alias("z"), F.lit(600).alias("n_neighbours"), F.lit(0.0).alias("local_i"))
+    began = time.time()
+    assert spatial.local_significance(local, "key").where("p_sim between 0.001 and 1").count() == 40_000
+    assert time.time() - began < 60
+
+
 def test_local_significance_draws_from_all_values(spark):
     # 120,000 skewed values, of which thirty have neighbours
     z = F.when(F.col("id") % 1000 == 7, F.col("id") / 10.0).otherwise(-(F.col("id") % 13) / 10.0)
