@@ -125,6 +125,20 @@ def test_distance_band_of_very_many_pairs(spark):
     assert found.agg(F.sum("n")).first()[0] == sum((250 - abs(i)) * (240 - abs(j)) for i, j in circle)
 
 
+@pytest.mark.parametrize("shift", [0.0, 0.25])
+def test_band_permutation_test_by_hand(spark, shift):
+    """On a lattice, with places that repeat and a point without one, and off it."""
+    rng = np.random.default_rng(8)
+    n, radius = 400, 6.0
+    x, y, v = rng.integers(0, 12, n) * 2.0, rng.integers(0, 9, n) * 3.0, rng.exponential(size=n)
+    x[5] += shift
+    rows = [(i, float(a), float(b) if i < n - 1 else None, float(c)) for i, (a, b, c) in enumerate(zip(x, y, v, strict=True))]
+    points = spark.createDataFrame(rows, "key long, x double, y double, v double")
+    pairs = [(a, b) for a in range(n - 1) for b in range(n - 1) if a != b and (x[a] - x[b]) ** 2 + (y[a] - y[b]) ** 2 <= radius**2]
+    (r,) = spatial.band_permutation_test(spark, points, "key", "x", "y", radius, "v", 99).collect()
+    assert same_test(r, by_hand(v - v.mean(), pairs, 99))
+
+
 def test_local_significance_with_and_without_bounds(spark, monkeypatch):
     """All p by the draws themselves: ties, zeros, an outlier, equal and different numbers of neighbours, draws in several blocks."""
     monkeypatch.setattr(spatial, "DRAWS", 500)
