@@ -197,16 +197,29 @@ def hashed_sample(df: DataFrame, key: str, n: int, seed: int = 2018) -> DataFram
 
 
 def evenly_spaced(df: DataFrame, key: str, n: int) -> DataFrame:
-    """About n rows at equal steps of their order by key, both ends included."""
+    """About n rows at equal steps of their order by key, both ends included; nulls come last."""
     total = df.count()
     if total <= n:
         return df
-    # positions come from counts of key ranges, so no task orders all rows
-    parts = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id() % (1 << 33))
+    # positions come from counts of key ranges, so no task orders all rows. The ranges' bounds are values, taken once:
+    # Spark's own range partitioning draws new ones for each job, and counts of one job don't fit the rows of the next
+    drawn = df.where(F.col(key).isNotNull()).select(F.col(key).alias("k")).orderBy(F.xxhash64("k", F.monotonically_increasing_id())).limit(5_000)
+    held = [r["k"] for r in drawn.distinct().orderBy("k").collect()]
+    ranges = min(256, total // 50_000 + 1, len(held))
+    bounds = [held[len(held) * i // ranges] for i in range(1, ranges)]
+
+    def range_of(low: int, high: int) -> Column:
+        middle = (low + high) // 2
+        return F.lit(low) if low == high else F.when(F.col(key) < F.lit(bounds[middle]), range_of(low, middle)).otherwise(range_of(middle + 1, high))
+
+    parts = df.withColumn("_p", range_of(0, len(bounds)))
     sizes = {r["_p"]: r["count"] for r in parts.groupBy("_p").count().collect()}
     before, starts = 0, {}
     for p in sorted(sizes):
         starts[p], before = before, before + sizes[p]
-    start = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), F.col("_p"))
     wanted = sorted({round(i * (total - 1) / (n - 1)) for i in range(n)}) if n > 1 else [0]
-    return parts.withColumn("_at", start + F.col("_m")).where(F.col("_at").isin(wanted)).drop("_p", "_m", "_at")
+    # only ranges that hold a wanted position are ordered; nulls fall into the last one
+    some = [p for p in starts if any(starts[p] <= at < starts[p] + sizes[p] for at in wanted)]
+    start = F.element_at(F.create_map(*[F.lit(x) for p in some for x in (p, starts[p])]), F.col("_p"))
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(F.col(key).asc_nulls_last()))
+    return parts.where(F.col("_p").isin(some)).withColumn("_at", start + place - 1).where(F.col("_at").isin(wanted)).drop("_p", "_at")
