@@ -3,9 +3,9 @@
 Documents and benchmark items are cut into passages of WINDOW words, half overlapping. A passage is a
 TF-IDF vector over hashed words; a randomised singular value decomposition gives a latent space in which
 passages are searched by cosine. The decomposition is distributed: tasks multiply their rows of A by a
-random matrix and back by A's transpose, and only the small products are added up. Inverse document
-frequencies count every passage of every document; the basis is fitted on at most SAMPLE_DOCS documents,
-chosen by a hash; every passage of every document is searched.
+random matrix and back by A's transpose, and only the small products are added up, in blocks of rows where
+they are, so that the driver receives one product whatever the input. Inverse document frequencies, the basis
+and the search take every passage of every document.
 
 A candidate, a passage whose cosine with an item's is COSINE at least, must hold nearby NEAR_SHARE of the
 item passage's telling words (those of a high inverse frequency); paraphrases that replace most of these are
@@ -41,7 +41,8 @@ BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 #: Dimensions of the latent space; the leading ones, which tell languages apart, are left out.
 DIMENSIONS, LEADING = 64, 6
-SAMPLE_DOCS = 20_000
+#: Blocks of rows in which the tasks' products are added up.
+SUM_BLOCKS = 16
 BLOCK_ITEMS = 10_000
 COSINE = 0.3
 #: A word is telling if its inverse frequency is at least this; of a candidate's telling words, this share must stand near the passage.
@@ -132,14 +133,31 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     return np.log((counts[BUCKETS] + 1) / (counts[:BUCKETS] + 1)).astype(np.float32)
 
 
-def _sums(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, begins, axis=0) if len(begins) else np.zeros((0, values.shape[1]), values.dtype)
+def _add_by_bucket(product: np.ndarray, rows: np.ndarray, bucket: np.ndarray, owner: np.ndarray) -> None:
+    """Add to product, at each word's bucket, the row of its half passage."""
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    sorted_, own = bucket[order], owner[order]
+    begins = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    sizes = np.diff(np.append(begins, len(sorted_)))
+    for k in np.flatnonzero(sizes > 24):
+        product[sorted_[begins[k]]] += rows.take(own[begins[k] : begins[k] + sizes[k]], axis=0).sum(axis=0)
+    # the others' first words, then their second ones, and so on: each bucket once a pass
+    left, nth = np.flatnonzero(sizes <= 24), 0
+    while len(left):
+        product[sorted_[begins[left]]] += rows.take(own[begins[left] + nth], axis=0)
+        nth += 1
+        left = left[sizes[left] > nth]
+
+
+_PRODUCT = pa.schema([("block", pa.int32()), ("product", pa.binary())])
 
 
 def _multiplier(idf: np.ndarray, seed: int, width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        random = np.random.default_rng(seed).normal(size=(BUCKETS, width)).astype(np.float32)
-        product = np.zeros((BUCKETS, width), np.float32)
+        random = np.random.default_rng(seed).normal(size=(BUCKETS, width)).astype(np.float32) * idf[:, None]
+        # a row of zeros stands for the words that a short half passage lacks
+        random = np.concatenate([random, np.zeros((1, width), np.float32)])
+        product, used = np.zeros((BUCKETS, width), np.float32), False
         for batch in batches:
             raw, offsets = to_buffer(batch.column(0))
             for a, b in chunks(offsets, 500_000):
@@ -148,27 +166,40 @@ def _multiplier(idf: np.ndarray, seed: int, width: int) -> Callable:
                 if not len(begins):
                     continue
                 bucket = _buckets(hashed)
-                weight = idf[bucket][:, None]
-                rows = _sums(random[bucket] * weight, begins)
-                owner = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(hashed))))
-                order = np.argsort(bucket, kind="stable")
-                sorted_ = bucket[order]
-                edge = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-                product[sorted_[edge]] += np.add.reduceat(rows[owner[order]] * weight[order], edge, axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array([product.tobytes()])], schema=pa.schema([("product", pa.binary())]))
+                places = _rows(bucket, begins).astype(np.int64)
+                rows = np.empty((len(begins), width), np.float32)
+                for k in range(0, len(places), 1024):
+                    part = random.take(places[k : k + 1024, 0], axis=0)
+                    for j in range(1, HALF):
+                        part += random.take(places[k : k + 1024, j], axis=0)
+                    rows[k : k + 1024] = part
+                _add_by_bucket(product, rows, bucket, np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(hashed)))))
+                used = True
+        for k, part in enumerate(np.split(product * idf[:, None], SUM_BLOCKS) if used else []):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()])], schema=_PRODUCT)
 
     return run
 
 
+def _adder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums, in doubles, of the products of each block."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = np.frombuffer(part.as_buffer(), np.float32)
+            sums[k] = sums[k] + found if k in sums else found.astype(np.float64)
+    for k, part in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()])], schema=_PRODUCT)
+
+
 def latent_basis(docs: DataFrame, idf: np.ndarray, seed: int = 5) -> np.ndarray:
-    """An orthonormal basis (BUCKETS x DIMENSIONS) of the passages' leading row space, by a randomised range finder."""
+    """An orthonormal basis (BUCKETS x DIMENSIONS) of the passages' leading row space, of all documents, by a randomised range finder."""
     width = DIMENSIONS + LEADING + 10
-    total = docs.count()
-    share = int(1_000_000 * min(1.0, SAMPLE_DOCS / max(1, total)))
-    texts = docs.where(F.pmod(F.xxhash64("doc_id", text_or_empty(), F.lit(41)), F.lit(1_000_000)) < share).select(text_or_empty().alias("text"))
-    # four partial products of fixed size, whatever the input
-    rows = in_batches(texts.repartition(4), _multiplier(idf, seed, width), "product binary").collect()
-    product = sum((np.frombuffer(bytes(r["product"]), np.float32).reshape(BUCKETS, width).astype(np.float64) for r in rows), np.zeros((BUCKETS, width)))
+    parts = in_batches(docs.select(text_or_empty().alias("text")), _multiplier(idf, seed, width), "block int, product binary")
+    product = np.zeros((SUM_BLOCKS, BUCKETS // SUM_BLOCKS, width))
+    for r in in_batches(parts.repartition(SUM_BLOCKS, "block"), _adder, "block int, product binary").collect():
+        product[r["block"]] += np.frombuffer(bytes(r["product"])).reshape(product.shape[1:])
+    product = product.reshape(BUCKETS, width)
     left, _, _ = np.linalg.svd(product, full_matrices=False)
     return left[:, LEADING : LEADING + DIMENSIONS].astype(np.float32)
 
